@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillframe.llm import mixing
+from quillframe.llm import fingerprints, langid, mixing
 
 QUERIES = {
+    "op6_language_id": langid.op6_language_id,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
