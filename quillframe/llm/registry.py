@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fingerprints, langid, mixing, pieces, topk
+from quillframe.llm import fingerprints, langid, mixing, pieces, preference, secrets, topk
 
 QUERIES = {
+    "op1_preference_pairs": preference.op1_preference_pairs,
     "op3_sample_pieces": pieces.op3_sample_pieces,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op1_preference_pairs": preference.OP1_SQL,
     "op5_exact_top_k": topk.OP5_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
