@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fingerprints, langid, mixing, pieces, preference, secrets, topk
+from quillframe.llm import fingerprints, langid, mixing, ngram_join, pieces, preference, secrets, topk
 
 QUERIES = {
     "op1_preference_pairs": preference.op1_preference_pairs,
@@ -10,11 +10,13 @@ QUERIES = {
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op10_ngram_join": ngram_join.op10_ngram_join,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLE_SQL = {
+    "op10_ngram_join": ngram_join.OP10_SQL,
     "op1_preference_pairs": preference.OP1_SQL,
     "op5_exact_top_k": topk.OP5_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
