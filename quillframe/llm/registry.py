@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fingerprints, langid, mixing, ngram_join, pieces, preference, secrets, topk
+from quillframe.llm import fingerprints, langid, mixing, ngram_join, pieces, preference, secrets, suffix_dedup, topk
 
 QUERIES = {
     "op1_preference_pairs": preference.op1_preference_pairs,
     "op3_sample_pieces": pieces.op3_sample_pieces,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
     "op7_fingerprints": fingerprints.op7_fingerprints,
