@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillframe.llm import fingerprints, langid, mixing, ngram_join, pieces, preference, secrets, suffix_dedup, topk
+from quillframe.llm import fingerprints, langid, line_dedup, mixing, ngram_join, pieces, preference, secrets, suffix_dedup, topk
 
 QUERIES = {
     "op1_preference_pairs": preference.op1_preference_pairs,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_sample_pieces": pieces.op3_sample_pieces,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op5_exact_top_k": topk.op5_exact_top_k,
