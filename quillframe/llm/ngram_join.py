@@ -209,7 +209,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     members = families.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    wide = docs.join(members.select(F.col("node").alias("doc_id"), "component", "blocks", "block"), "doc_id").dropDuplicates(["doc_id"])
+    # a merge join at every size: what it shuffles grows with the texts, and no member table is ever broadcast
+    wide = docs.join(members.select(F.col("node").alias("doc_id"), "component", "blocks", "block").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     sets = wide.select(F.col("doc_id").alias("rep"), "component", "blocks", "block", "text")
     sets = sets.mapInPandas(_sets, "rep long, component long, blocks int, block int, shingles binary")
     with_block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
