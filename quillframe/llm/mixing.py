@@ -108,7 +108,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     times = F.array_repeat(F.col("size"), F.col("whole").cast("int"))
     parts = F.concat(times, F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.expr("array()").cast("array<bigint>")))
     taken = taken.filter("whole > 0 or extra > 0").select("doc_id", "size", F.explode(parts).alias("words"))
-    rows = docs.join(taken, "doc_id").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
+    rows = docs.join(taken.hint("merge"), "doc_id").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

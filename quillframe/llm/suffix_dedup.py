@@ -362,7 +362,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         rows = _cut(text, starts, sizes)
         return rows if keep_text else rows.drop(columns="kept")
 
-    done = docs.join(spans, "doc_id", "left").withColumn("cut", cut("text", "starts", "sizes"))
+    done = docs.join(spans.hint("merge"), "doc_id", "left").withColumn("cut", cut("text", "starts", "sizes"))
     return done.select("doc_id", "cut.*")
 
 
