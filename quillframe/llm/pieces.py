@@ -26,15 +26,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.llm.codepoints import chunks, mix
 from quillframe.llm.common import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 RANK_OFFSET, TEMPERATURE, SEED = 10.0, 1.0, 11
+#: Characters whose lattices are held at a time.
+CHUNK = 200_000
+#: Characters of distinct words whose lattices are kept: some 100 MB.
+STORE = 1_000_000
 MARK = "▁"
 #: A word: markers, then the characters up to the next marker. Long ones are split where no piece could cross.
 LITERAL = "\0" + MARK  # not a word that _WORD finds: those have markers only in front
@@ -57,6 +63,9 @@ class Vocabulary:
                 self.byte_id[int(piece[3:-1], 16)] = k
             elif not (sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k)):
                 normal.append(k)
+        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        for b in range(128):
+            self.shown[self.byte_id[b]] = chr(b)
         self.longest = max(len(self.pieces[k]) for k in normal)
         chars = sorted({c for k in normal for c in self.pieces[k]})
         symbol = {c: s + 1 for s, c in enumerate(chars)}
@@ -95,107 +104,153 @@ def vocabulary(model: str, temperature: float) -> Vocabulary:
 
 
 class Lattices:
-    """Forward-filtered lattices of distinct words, stored flat; each edge that ends at a position has its cumulative share."""
-
-    def __init__(self, words: list[str], v: Vocabulary):
-        sizes = np.array([len(w) for w in words], np.int64)
-        self.at = np.cumsum(sizes) - sizes
-        text = "".join(words)
-        self.symbols = v.symbol_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        total, width = len(text), v.longest
-        left = np.repeat(self.at + sizes, sizes) - np.arange(total)  # characters from here to the word's end
-        # piece[e, k]: id of the piece of k + 1 characters that ends after character e, or -1
-        self.piece = np.full((total, width), -1, np.int32)
+    """Forward-filtered lattices of distinct words, kept from one group of texts to the next and dropped when STORE characters are full.
+
+    Row e of ``piece`` has the pieces that end with character e, by length; the same row of
+    ``cumulative`` has their running shares of all ways to get there.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.used = v, 0
+        self.words: dict[str, int] = {}
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.room(STORE)
+
+    def room(self, n: int) -> None:
+        width = self.v.longest
+        self.piece = np.full((n, width), -1, np.int16 if len(self.v.pieces) < 2**15 else np.int32)
+        self.cumulative = np.ones((n, width), np.float32)
+        self.unknown = np.zeros(n, bool)
+        self.points = np.zeros(n, np.uint32)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The number of each word, new ones filtered first."""
+        known = self.words
+        fresh = list(dict.fromkeys(w for w in words if w not in known))
+        need = sum(map(len, fresh))
+        if self.used + need > len(self.piece) and self.used:
+            self.__init__(self.v)
+            return self.numbers(words)
+        if need > len(self.piece):
+            self.room(need)
+        if fresh:
+            self.filter(fresh)
+            known = self.words
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
+
+    def filter(self, words: list[str]) -> None:
+        v, base = self.v, self.used
+        texts = [MARK if w == LITERAL else w for w in words]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        at = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbols, total, width = v.symbol_of[points], len(points), v.longest
+        if LITERAL in words:
+            symbols[at[words.index(LITERAL)]] = 0
+        piece, cumulative = self.piece[base : base + total], self.cumulative[base : base + total]
+        left = np.repeat(at + sizes, sizes) - np.arange(total)  # characters from here to the word's end
         live, node = np.arange(total), np.zeros(total, np.int32)
         for k in range(width):
             keep = left[live] > k
             live, node = live[keep], node[keep]
-            node = v.step(node, self.symbols[live + k])
+            node = v.step(node, symbols[live + k])
             keep = node >= 0
             live, node = live[keep], node[keep]
-            self.piece[live + k, k] = v.piece_at[node]
-        self.unknown = self.piece[:, 0] < 0  # written as bytes: one edge of the rarest piece's weight, cubed
+            piece[live + k, k] = v.piece_at[node]
+        unknown = piece[:, 0] < 0  # written as bytes: one edge of the rarest piece's weight, cubed
         # forward filtering; words advance together, by position, longest first
         order = np.argsort(-sizes, kind="stable")
-        ends = self.at[order]
+        starts, ascending = at[order], sizes[order][::-1]
         alpha = np.zeros(total)
-        self.cumulative = np.ones((total, width), np.float32)
-        ascending = sizes[order][::-1]
         weight = np.append(v.weight, 0.0)  # piece -1: no edge
         for t in range(int(sizes.max(initial=0))):
-            e = ends[: len(order) - np.searchsorted(ascending, t, side="right")] + t
+            e = starts[: len(order) - np.searchsorted(ascending, t, side="right")] + t
             span = min(width, t + 1)
-            terms = weight[self.piece[e, :span]]
-            terms[self.unknown[e], 0] = v.weight[-1] ** 3
+            terms = weight[piece[e, :span]]
+            terms[unknown[e], 0] = v.weight[-1] ** 3
             for k in range(min(width, t)):
                 terms[:, k] *= alpha[e - k - 1]
             cum = np.cumsum(terms, axis=1)
             full = cum[:, -1]
-            self.cumulative[e, :span] = cum / full[:, None]
+            cumulative[e, :span] = cum / full[:, None]
             alpha[e] = full
             if t % 8 == 7:  # rescale a word's recent values together, lest long words underflow
                 for k in range(span):
                     alpha[e - k] /= full
+        self.unknown[base : base + total], self.points[base : base + total] = unknown, points
+        self.words.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
+        self.begin, self.size = np.append(self.begin, base + at), np.append(self.size, sizes)
+        self.used += total
+
+
+@lru_cache(maxsize=2)
+def lattices(v: Vocabulary) -> Lattices:
+    return Lattices(v)
 
 
 def sample(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int) -> list[np.ndarray]:
     """Piece ids of one sampled segmentation of each text."""
-    types: dict[str, int] = {}
-    word_type, per_text = [], []
+    all_words: list[str] = []
+    per_text = []
     for t in texts:
         if MARK in t:  # a marker in the text itself is no space: it stands alone, as a symbol outside the vocabulary
             words = []
             for part in re.split(f"({MARK})", t):
                 words += [LITERAL] if part == MARK else _WORD.findall(part.replace(" ", MARK))
+            words = [w for w in words if w]
         else:
             words = _WORD.findall(t.replace(" ", MARK))
-        words = [w for w in words if w]
+            if words and not words[-1]:
+                words.pop()
         per_text.append(len(words))
-        word_type += [types.setdefault(w, len(types)) for w in words]
-    if not word_type:
+        all_words += words
+    if not all_words:
         return [np.zeros(0, np.int32) for _ in texts]
-    own = [MARK if w == LITERAL else w for w in types]
-    lattice = Lattices(own, v)
-    if LITERAL in types:
-        e = lattice.at[types[LITERAL]]
-        lattice.unknown[e], lattice.piece[e] = True, -1
-    text_of_char = "".join(own)
-    sizes = np.array([len(w) for w in own], np.int64)
-    kind = np.array(word_type, np.int64)
-    n = sizes[kind]
+    store = lattices(v)
+    kind = store.numbers(all_words)
+    n, begin = store.size[kind], store.begin[kind]
     owner = np.repeat(np.arange(len(texts)), per_text)
     ends = np.cumsum(n)
     starts_of_text = np.concatenate([[0], np.cumsum(np.bincount(owner, weights=n, minlength=len(texts)).astype(np.int64))])
-    place = ends - starts_of_text[owner]  # the word's end in its own text
+    first = (ends - n - starts_of_text[owner]).astype(np.uint64)  # the word's start in its own text
     salt = mix(keys.astype(np.uint64) ^ mix(np.array([seed], np.uint64)))[owner]
     found_at, found_id = [], []
     live, back = np.arange(len(kind)), n.copy()  # back: characters of the word not yet segmented
     while len(live):
-        e = lattice.at[kind[live]] + back[live] - 1
-        where = (place[live] - n[live] + back[live]).astype(np.uint64)
+        e = begin[live] + back[live] - 1
+        where = first[live] + back[live].astype(np.uint64)
         u = (mix(salt[live] + where * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-        k = (lattice.cumulative[e] <= u[:, None]).sum(axis=1)
-        k = np.minimum(k, lattice.piece.shape[1] - 1)
+        k = np.zeros(len(live), np.int64)
+        open_, row, draw = np.arange(len(live)), e, u
+        for j in range(v.longest - 1):  # the first length whose running share exceeds the draw; most are short
+            more = store.cumulative[row, j] <= draw
+            open_, row, draw = open_[more], row[more], draw[more]
+            if not len(open_):
+                break
+            k[open_] += 1
         found_at.append(ends[live] - n[live] + back[live])
-        ids = lattice.piece[e, k]
-        found_id.append(np.where(lattice.unknown[e] & (k == 0), -1 - e, ids))
+        found_id.append(np.where(store.unknown[e] & (k == 0), -1 - e, store.piece[e, k]))
         back[live] -= k + 1
         live = live[back[live] > 0]
     at, ids = np.concatenate(found_at), np.concatenate(found_id)
-    order = np.argsort(at, kind="stable")
-    at, ids = at[order], ids[order]
-    cut = np.searchsorted(at, starts_of_text, side="right")
-    out = []
-    bare = ids < 0
-    for k in range(len(texts)):
-        part = ids[cut[k] : cut[k + 1]]
-        if bare[cut[k] : cut[k + 1]].any():
-            pieces: list[int] = []
-            for x in part.tolist():
-                pieces += [x] if x >= 0 else v.byte_id[list(text_of_char[-1 - x].encode("utf-8", "surrogatepass"))].tolist()
-            part = np.array(pieces, np.int32)
-        out.append(part)
-    return out
+    slot = np.full(int(ends[-1]) + 1, np.iinfo(np.int64).min)
+    slot[at] = ids  # places are distinct: a counting sort
+    used = slot != np.iinfo(np.int64).min
+    ids = slot[used]
+    cut = np.cumsum(used)[starts_of_text]
+    bare = np.flatnonzero(ids < 0)
+    if not len(bare):
+        flat = ids.astype(np.int32)
+        return [flat[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+    raws = [v.byte_id[list(chr(store.points[-1 - x]).encode("utf-8", "surrogatepass"))] for x in ids[bare]]
+    count = np.ones(len(ids), np.int64)
+    count[bare] = [len(r) for r in raws]
+    flat = np.repeat(ids, count).astype(np.int32)
+    place = np.cumsum(count) - count
+    fill = np.repeat(place[bare], count[bare]) + np.concatenate([np.arange(len(r)) for r in raws])
+    flat[fill] = np.concatenate(raws)
+    bounds = np.append(place, len(flat))[cut]
+    return [flat[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def decode(ids, v: Vocabulary) -> str:
@@ -217,41 +272,51 @@ def decode(ids, v: Vocabulary) -> str:
 
 
 def _decodes(texts: list[str], ids: list[np.ndarray], v: Vocabulary) -> list[bool]:
-    names = v.pieces
-    first = int(v.byte_id[0])
+    """Whether each list of ids decodes to its text."""
+    names, high = v.shown, v.byte_id[128:]
     out = []
     for t, k in zip(texts, ids, strict=True):
-        if ((k >= first) & (k < first + 256)).any():
+        if ((k >= high[0]) & (k <= high[-1])).any():  # bytes of characters beyond ASCII
             out.append(decode(k, v) == t)
         else:
-            out.append("".join([names[x] for x in k.tolist()]).replace(MARK, " ") == t)
+            out.append("".join(map(names.__getitem__, k.tolist())) == t)
     return out
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
-    """Adds pieces (array of ids) and lossless (the decoded pieces equal the text) to docs."""
+def encoded(
+    docs: DataFrame, keep: list[str] | None = None, key: str = "doc_id", text: str = "text", model: str = MODEL, temperature: float = TEMPERATURE, seed: int = SEED
+) -> DataFrame:
+    """The kept columns of docs (all, if not named), then pieces (array of ids) and lossless (the decoded pieces equal the text).
+
+    Texts are worked off and sent back in groups of CHUNK characters, so memory does not depend on the batch.
+    """
+    keep = docs.columns if keep is None else keep
+    shape = T.StructType([docs.schema[c] for c in keep] + [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
 
-    @F.pandas_udf("pieces array<int>, lossless boolean")
-    def segment(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, temperature)
-        for hashes, texts in batches:
-            texts, hashes = texts.tolist(), hashes.to_numpy(np.int64).view(np.uint64)
-            known = [k for k, t in enumerate(texts) if isinstance(t, str)]
-            pieces: list = [None] * len(texts)
-            same: list = [None] * len(texts)
-            for part in chunks([len(texts[k]) for k in known], 400_000):
-                rows = known[part]
-                group = [texts[k] for k in rows]
-                ids = sample(group, hashes[rows], v, seed)
-                for k, found, ok in zip(rows, ids, _decodes(group, ids, v), strict=True):
-                    pieces[k], same[k] = found, ok
-            yield pd.DataFrame({"pieces": pieces, "lossless": pd.array(same, dtype="boolean")})
-
-    found = segment(F.xxhash64(F.col(key).cast("string")), F.col(text))
-    return docs.withColumn("_found", found).withColumns({"pieces": F.col("_found.pieces"), "lossless": F.col("_found.lossless")}).drop("_found")
+        for batch in batches:
+            sizes = pc.fill_null(pc.utf8_length(batch["_text"]), 0).to_pylist()
+            for part in chunks(sizes, CHUNK):
+                rows = batch.slice(part.start, part.stop - part.start)
+                texts = rows["_text"].to_pylist()
+                hashes = rows["_key"].to_numpy().view(np.uint64)
+                known = np.array([k for k, t in enumerate(texts) if t is not None], np.int64)
+                group = [texts[k] for k in known]
+                ids = sample(group, hashes[known], v, seed)
+                same: list = [None] * len(texts)
+                count = np.zeros(len(texts), np.int64)
+                for k, found, ok in zip(known, ids, _decodes(group, ids, v), strict=True):
+                    same[k], count[k] = ok, len(found)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32())
+                flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
+                pieces = pa.ListArray.from_arrays(offsets, flat, mask=pa.array([s is None for s in same]))
+                yield pa.RecordBatch.from_arrays([*[rows[c] for c in keep], pieces, pa.array(same, pa.bool_())], names=shape.fieldNames())
+
+    rows = docs.select(*keep, F.xxhash64(F.col(key).cast("string")).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInArrow(segment, shape)
 
 
 def op3_sample_pieces(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rows = encoded(docs)
-    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.size("pieces").cast("long").alias("n_pieces"), "lossless", "pieces")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").cast("long").alias("n_chars"))
+    return encoded(docs, keep=["doc_id", "n_chars"]).select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), "lossless", "pieces")
