@@ -2,49 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillframe.plans import relational_queries, scalar_queries, table_queries, text_queries, tree_queries  # noqa: F401
+from quillframe.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from quillframe.plans.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a plan under its function name, with its oracle if SQL can express it."""
-
-    def add(plan):
-        QUERIES[plan.__name__] = plan
-        if sql:
-            ORACLE_SQL[plan.__name__] = sql
-        return plan
-
-    return add
-
-
-@query(r"""
-SELECT lang, token, n FROM (
-  SELECT lang, token, n, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS rk FROM (
-    SELECT lang, token, count(*) AS n FROM (
-      SELECT lang, unnest(string_split_regex(
-        regexp_replace(regexp_replace(regexp_replace(text, '\p{Pd}', '-', 'g'), '[\p{Pi}\p{Pf}]', '''', 'g'), '\s+', ' ', 'g'), ' ')) AS token
-      FROM documents) WHERE length(token) >= 2 GROUP BY lang, token)) WHERE rk <= 20
-""")
-def word_count_top(spark, sf_dir):
-    """The 20 most frequent tokens of each language, dashes and quotes folded."""
-    clean = F.col("text")
-    for pattern, into in ((r"\p{Pd}", "-"), (r"[\p{Pi}\p{Pf}]", "'"), (r"\s+", " ")):
-        clean = F.regexp_replace(clean, pattern, into)
-    counts = (
-        table(spark, sf_dir, "documents")
-        .select("lang", F.explode(F.split(clean, " ")).alias("token"))
-        .filter(F.length("token") >= 2)
-        .groupBy("lang", "token")
-        .agg(F.count("*").alias("n"))
-    )
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "token"))
-    return counts.withColumn("rk", rank).filter("rk <= 20").drop("rk")
+__all__ = ["ORACLE_SQL", "QUERIES"]

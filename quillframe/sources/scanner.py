@@ -74,9 +74,12 @@ def balanced_records(df: DataFrame, column: str = "value", **options) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for src, text in zip(batch["src"], batch["value"], strict=True):
-                pieces = list(balanced(text, **options)) if isinstance(text, str) else []
-                if pieces:
-                    yield pd.DataFrame({"src": src, "rec_no": range(1, len(pieces) + 1), "value": pieces})
+            found = [
+                (src, k, piece)
+                for src, text in zip(batch["src"], batch["value"], strict=True)
+                if isinstance(text, str)
+                for k, piece in enumerate(balanced(text, **options), 1)
+            ]
+            yield pd.DataFrame(found, columns=["src", "rec_no", "value"])
 
     return df.select(F.col("src").cast("string").alias("src"), F.col(column).alias("value")).mapInPandas(run, "src string, rec_no long, value string")
