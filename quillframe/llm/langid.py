@@ -242,8 +242,10 @@ def _cached_train(raw: tuple[bytes, ...], labels: tuple[int, ...], n: int):
     return train(list(raw), np.array(labels, np.int64), n)
 
 
-def identify(docs: DataFrame, train_on, train_docs: int = TRAIN_DOCS, train_segments: int = TRAIN_SEGMENTS) -> DataFrame:
-    """Adds lang_pred and score to docs. train_on: a Column, true where a document's lang may be learnt from."""
+def identify(
+    docs: DataFrame, train_on: Column, train_docs: int = TRAIN_DOCS, train_segments: int = TRAIN_SEGMENTS, names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Adds the predicted language and its score to docs under ``names``, in place of columns called so. train_on: true where a lang may be learnt from."""
     learn = docs.filter(train_on & F.col("lang").isNotNull())
     counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
@@ -274,7 +276,8 @@ def identify(docs: DataFrame, train_on, train_docs: int = TRAIN_DOCS, train_segm
                     size += len(text.iloc[at[hi]])
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return docs.withColumn("_found", predict("text")).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    found = docs.withColumn("__qf_found", predict("text"))
+    return found.withColumns({names[0]: F.col("__qf_found.lang_pred"), names[1]: F.col("__qf_found.score")}).drop("__qf_found")
 
 
 def fold(doc_id: Column) -> Column:
@@ -290,5 +293,5 @@ def op6_language_id(spark, sf_dir):
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents whose language the network can tell: not ``und`` and scored at least ``least``."""
-    found = identify(docs, fold(F.col("doc_id")) != 0)
-    return found.filter((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*docs.columns)
+    found = identify(docs, fold(F.col("doc_id")) != 0, names=("__qf_lang", "__qf_score"))
+    return found.filter((F.col("__qf_lang") != UND) & (F.col("__qf_score") >= least)).select(*docs.columns)

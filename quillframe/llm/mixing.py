@@ -104,13 +104,14 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     docs must have one row per doc_id, which is what the stages before give.
     """
     taken = mixed(docs, **options).select("doc_id", "whole", "extra", "size")
-    head = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, F.col("words").cast("int")), "")
+    words, size = F.col("__qf_words"), F.col("__qf_size")  # names that no column of docs has
+    head = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, words.cast("int")), "")
     times = F.array_repeat(F.col("size"), F.col("whole").cast("int"))
     parts = F.concat(times, F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.expr("array()").cast("array<bigint>")))
-    taken = taken.filter("whole > 0 or extra > 0").select("doc_id", "size", F.explode(parts).alias("words"))
-    rows = docs.join(taken.hint("merge"), "doc_id").withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
+    taken = taken.filter("whole > 0 or extra > 0").select("doc_id", F.col("size").alias("__qf_size"), F.explode(parts).alias("__qf_words"))
+    rows = docs.join(taken.hint("merge"), "doc_id").withColumn("text", F.when(words < size, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("words") < F.col("size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(words < size, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

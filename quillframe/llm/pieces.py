@@ -290,17 +290,17 @@ def encoded(
 
     Texts are worked off and sent back in groups of CHUNK characters, so memory does not depend on the batch.
     """
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "lossless")]
     shape = T.StructType([docs.schema[c] for c in keep] + [T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model, temperature)
         for batch in batches:
-            sizes = pc.fill_null(pc.utf8_length(batch["_text"]), 0).to_pylist()
+            sizes = pc.fill_null(pc.utf8_length(batch["__qf_text"]), 0).to_pylist()
             for part in chunks(sizes, CHUNK):
                 rows = batch.slice(part.start, part.stop - part.start)
-                texts = rows["_text"].to_pylist()
-                hashes = rows["_key"].to_numpy().view(np.uint64)
+                texts = rows["__qf_text"].to_pylist()
+                hashes = rows["__qf_key"].to_numpy().view(np.uint64)
                 known = np.array([k for k, t in enumerate(texts) if t is not None], np.int64)
                 group = [texts[k] for k in known]
                 ids = sample(group, hashes[known], v, seed)
@@ -313,7 +313,7 @@ def encoded(
                 pieces = pa.ListArray.from_arrays(offsets, flat, mask=pa.array([s is None for s in same]))
                 yield pa.RecordBatch.from_arrays([*[rows[c] for c in keep], pieces, pa.array(same, pa.bool_())], names=shape.fieldNames())
 
-    rows = docs.select(*keep, F.xxhash64(F.col(key).cast("string")).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(*keep, F.xxhash64(F.col(key).cast("string")).alias("__qf_key"), F.col(text).alias("__qf_text"))
     return rows.mapInArrow(segment, shape)
 
 
