@@ -73,7 +73,8 @@ def level_up(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarr
         before[first] = label[first] ^ 1
         label = _toss()[(label << 7) | before].astype(np.uint16)
     cut = head.copy()
-    cut[1:-1] |= (label[1:-1] < label[:-2]) & (label[1:-1] <= label[2:])
+    # a text's last symbol starts no phrase: what follows it is another text
+    cut[1:-1] |= (label[1:-1] < label[:-2]) & (label[1:-1] <= label[2:]) & ~head[2:]
     cut[1:] &= ~head[:-1] | head[1:]  # a phrase has two symbols at least, but for the last of a text
     at = np.flatnonzero(cut)
     size = np.diff(at, append=len(names))

@@ -148,7 +148,7 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], most: int = 4
 def _verify(threshold: float):
     """One pair of blocks of a family: the number of links of each document, and links enough to connect what is connected."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         bi, bj = key[1], key[2]
         sides = []
         for b in dict.fromkeys((bi, bj)):
