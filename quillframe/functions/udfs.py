@@ -130,3 +130,26 @@ def indented_xml(x: Column, step: str = "  ") -> Column:
         return "".join(out).lstrip("\n")
 
     return _each(run)(x)
+
+
+def printable(x: Column, mode: str = "DFT", space: str = " ", line_feed: str = "\n") -> Column:
+    """Controls in a visible form. DFT and SYM: Unicode pictures; C: backslash escapes; XML: references; LATIN1: all beyond ASCII as escapes too."""
+    named = {"\a": "\\a", "\b": "\\b", "\x1b": "\\e", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\0": "\\0"}
+
+    def one(c: str) -> str:
+        k = ord(c)
+        if c == " ":
+            return space
+        if c == "\n" and line_feed != "\n":
+            return line_feed
+        if 0x20 < k < 0x7F or (k >= 0xA0 and mode != "LATIN1"):
+            return c
+        if mode == "C":
+            return named.get(c, f"\\x{k:02x}")
+        if mode == "XML":
+            return f"&#x{k:X};"
+        if mode == "LATIN1":
+            return named.get(c) or (f"\\x{k:02x}" if k < 0x100 else f"\\x{{{k:x}}}")
+        return chr(0x2400 + k) if k < 0x20 else "␡" if k == 0x7F else f"\\x{k:02x}"
+
+    return _each(lambda v: "".join(map(one, v)))(x)
