@@ -15,6 +15,11 @@ def prose(seed: int, n: int) -> str:
     return " ".join(out).replace("\n ", "\n")
 
 
+@pytest.fixture(scope="session")
+def make_prose():
+    return prose
+
+
 @pytest.fixture(scope="session")
 def edge_rows():
     """Documents with nulls, empty and very long texts, ties, copies, near copies and repeated lines, and columns of odd names."""
