@@ -16,7 +16,6 @@ result; ties between languages go to the first in code-point order.
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +28,6 @@ from quillframe.llm.common import table
 SEGMENT, HIDDEN, BATCH = 64, 8, 4096
 TRAIN_DOCS, TRAIN_SEGMENTS, EPOCHS, LEARNING_RATE = 200, 6, 8, 0.02
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _squash(x, scratch=None):
@@ -258,7 +256,7 @@ def identify(
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         w, names = trained.value
-        readable = np.array([bool(t and _LETTER.search(t)) for t in text], bool)
+        readable = np.array([isinstance(t, str) and any(map(str.isalpha, t)) for t in text], bool)
         pred, score = np.full(len(text), UND, object), np.zeros(len(text))
         if w is not None and readable.any():
             at = np.flatnonzero(readable)
