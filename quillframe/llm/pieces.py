@@ -161,7 +161,7 @@ class Lattices:
         # forward filtering; words advance together, by position, longest first
         order = np.argsort(-sizes, kind="stable")
         starts, ascending = at[order], sizes[order][::-1]
-        alpha = np.zeros(total)
+        alpha, start = np.zeros(total), np.ones(len(order))  # start: a word's alpha before its first character
         weight = np.append(v.weight, 0.0)  # piece -1: no edge
         for t in range(int(sizes.max(initial=0))):
             e = starts[: len(order) - np.searchsorted(ascending, t, side="right")] + t
@@ -170,6 +170,8 @@ class Lattices:
             terms[unknown[e], 0] = v.weight[-1] ** 3
             for k in range(min(width, t)):
                 terms[:, k] *= alpha[e - k - 1]
+            if t < width:
+                terms[:, t] *= start[: len(e)]
             cum = np.cumsum(terms, axis=1)
             full = cum[:, -1]
             cumulative[e, :span] = cum / full[:, None]
@@ -177,6 +179,8 @@ class Lattices:
             if t % 8 == 7:  # rescale a word's recent values together, lest long words underflow
                 for k in range(span):
                     alpha[e - k] /= full
+                if t < width:
+                    start[: len(e)] /= full
         self.unknown[base : base + total], self.points[base : base + total] = unknown, points
         self.words.update(zip(words, range(len(self.begin), len(self.begin) + len(words)), strict=True))
         self.begin, self.size = np.append(self.begin, base + at), np.append(self.size, sizes)
