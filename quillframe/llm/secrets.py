@@ -3,8 +3,8 @@
 Candidates are words of ``LEAST`` characters or more that look machine-made (they hold a
 digit, or capitals within). Features: length, shares of character classes, transitions
 between classes, the mean log-probability of the candidate's letter pairs and the share
-of its letter triples found in dictionary words (both from the word counts of the whole
-corpus, folded to 26 letters), the path (here the source), and the neighbouring words.
+of its letter triples found in dictionary words (both from the distinct plain-letter words
+of the whole corpus, folded to 26 letters; no candidate with a digit or capitals within is one), the path (here the source), and the neighbouring words.
 
 The forest learns from labelled findings: a table (doc_id, place, label) if one is given,
 else findings labelled by ``by_rule`` (a value assigned to a name for secrets). At most
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import saved, table
 
 LEAST, TRAIN, TREES, DEPTH, SEED, KEEP = 12, 4000, 24, 6, 17, 0.5
-#: A word of the corpus is in the dictionary from this many occurrences on.
-KNOWN = 5
+#: A letter triple is known if it is in this many of a million distinct dictionary words, and in two at least.
+KNOWN = 100
+#: A dictionary word: letters only, but for punctuation around it.
+PLAIN, CAMEL = r"^[(\[\"'«„“]*\p{L}+[.,;:!?)\]\"'»“”]*$", r"\p{Ll}\p{Lu}"
 SPACE = r"[\x20\x09-\x0D]+"
 SECRET_NAME = r"(?i)(token|secret|passw|api_?key|access_?key|private_?key|credential|auth|bearer)"
 FEATURES = (
@@ -59,14 +61,14 @@ def _fold(word: Column) -> Column:
 
 
 def corpus_letters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts of letter pairs, and the letter triples of dictionary words, over every word of every document."""
-    words = docs.select(F.explode(F.split("text", SPACE)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = words.select(F.concat(F.lit("_"), F.regexp_replace(_fold(F.col("word")), "^_+|_+$", ""), F.lit("_")).alias("w"), "n")
-    words = saved(words.groupBy("w").agg(F.sum("n").alias("n")))
+    """Counts of letter pairs, and the known letter triples, over the distinct dictionary words; how often a word occurs does not matter."""
+    words = docs.select(F.explode(F.split("text", SPACE)).alias("word")).filter(F.col("word").rlike(PLAIN) & ~F.col("word").rlike(CAMEL))
+    words = saved(words.select(F.concat(F.lit("_"), F.regexp_replace(_fold(F.col("word")), "^_+|_+$", ""), F.lit("_")).alias("w")).distinct())
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.length("w") - k + 1), lambda i: F.substr(F.col("w"), i, F.lit(k)))
-    pairs = words.filter(F.length("w") >= 2).select(F.explode(grams(2)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-    triples = words.filter((F.col("n") >= KNOWN) & (F.length("w") >= 3)).select(F.explode(grams(3)).alias("gram")).distinct()
-    return pairs, triples
+    pairs = words.filter(F.length("w") >= 2).select(F.explode(grams(2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    least = max(2, words.count() * KNOWN / 1e6)
+    triples = words.filter(F.length("w") >= 3).select(F.explode(F.array_distinct(grams(3))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return pairs, triples.filter(F.col("n") >= least).select("gram")
 
 
 def _literals(docs: DataFrame) -> tuple[Column, Column]:
