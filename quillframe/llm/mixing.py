@@ -64,10 +64,11 @@ def _cut(sums: DataFrame, key: str, base: Column) -> DataFrame:
     return sums.withColumn("base", base + before).filter((F.col("base") <= F.col("extra_words")) & (F.col("extra_words") < F.col("base") + F.col("words")))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """docs (doc_id, source, text) to (doc_id, source, size, source_size, target, whole, extra, taken)."""
+def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, seed: str = SEED, row: str | None = None) -> DataFrame:
+    """docs (doc_id, source, text) to (doc_id, source, size, source_size, target, whole, extra, taken), and the column ``row`` if named."""
+    more = [] if row is None else [row]
     digest = F.md5(F.concat_ws("/", F.lit(seed), F.col("doc_id").cast("string")))
-    sized = saved(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("h")))
+    sized = saved(docs.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), digest.alias("h")))
     sized = sized.withColumn("bin1", F.substring("h", 1, 3)).withColumn("bin2", F.substring("h", 4, 3))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_epochs)
@@ -91,25 +92,26 @@ def mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, max_epochs:
     at_cut = F.coalesce((F.col("bin1") == F.col("cut1")) & (F.col("bin2") == F.col("cut2")), F.lit(False))
     before_cut = F.col("cut1").isNull() | (F.col("bin1") < F.col("cut1")) | ((F.col("bin1") == F.col("cut1")) & (F.col("bin2") < F.col("cut2")))
     clear = rows.filter(~at_cut).withColumn("extra", F.when((F.col("extra_words") > 0) & before_cut, F.col("size")).otherwise(F.lit(0)).cast("long"))
-    order = W.partitionBy("source").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    order = W.partitionBy("source").orderBy("h", "doc_id", "size", *more).rowsBetween(W.unboundedPreceding, -1)
     left = F.col("extra_words") - F.col("base2") - F.coalesce(F.sum("size").over(order), F.lit(0))
     close = rows.filter(at_cut).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left)))
-    kept = ("doc_id", "source", "size", "source_size", "target", "whole", "extra")
+    kept = (*more, "doc_id", "source", "size", "source_size", "target", "whole", "extra")
     return clear.select(*kept).unionByName(close.select(*kept)).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
 
 
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row per repetition; a repetition taken in part holds its first words.
 
-    docs must have one row per doc_id, which is what the stages before give.
+    Rows are numbered first, so those that repeat a doc_id, or have none, are taken as separate documents.
     """
-    taken = mixed(docs, **options).select("doc_id", "whole", "extra", "size")
+    numbered = saved(docs.withColumn("__qf_row", F.monotonically_increasing_id()))
+    taken = mixed(numbered, row="__qf_row", **options).select("__qf_row", "whole", "extra", "size")
     words, size = F.col("__qf_words"), F.col("__qf_size")  # names that no column of docs has
     head = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), 1, words.cast("int")), "")
     times = F.array_repeat(F.col("size"), F.col("whole").cast("int"))
     parts = F.concat(times, F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.expr("array()").cast("array<bigint>")))
-    taken = taken.filter("whole > 0 or extra > 0").select("doc_id", F.col("size").alias("__qf_size"), F.explode(parts).alias("__qf_words"))
-    rows = docs.join(taken.hint("merge"), "doc_id").withColumn("text", F.when(words < size, head).otherwise(F.col("text")))
+    taken = taken.filter("whole > 0 or extra > 0").select("__qf_row", F.col("size").alias("__qf_size"), F.explode(parts).alias("__qf_words"))
+    rows = numbered.join(taken.hint("merge"), "__qf_row").withColumn("text", F.when(words < size, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(words < size, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)

@@ -231,9 +231,12 @@ def op10_ngram_join(spark, sf_dir):
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Keeps the smallest doc_id of each class."""
-    keep = jaccard_classes(docs).filter("doc_id = class_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each class, that of its smallest doc_id; rows that repeat a doc_id, or have none, are documents like any other."""
+    rows = saved(docs.withColumn("__qf_row", F.monotonically_increasing_id()))
+    classes = jaccard_classes(rows.select(F.col("__qf_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "class_id")
+    ids = rows.select(F.col("__qf_row").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__qf_row").alias("row")).alias("at"))
+    keep = classes.join(ids, "row").groupBy("class_id").agg(F.min("at").alias("at")).select(F.col("at.row").alias("__qf_row"))
+    return rows.join(keep, "__qf_row", "left_semi").select(*docs.columns)
 
 
 OP10_SQL = r"""
