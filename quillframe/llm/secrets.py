@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, scored by a random forest that removes false positives.
 
-Candidates are words of ``LEAST`` characters or more that look machine-made (they hold a
-digit, or capitals within). Features: length, shares of character classes, transitions
+Candidates are parts of words: names with values (also in compact JSON and query strings)
+and tokens. Parts of ``LEAST`` characters or more are taken if they look machine-made (they
+hold a digit, or capitals within), values of a secret's name from ``NAMED_LEAST`` on. Features: length, shares of character classes, transitions
 between classes, the mean log-probability of the candidate's letter pairs and the share
 of its letter triples found in dictionary words (both from the distinct plain-letter words
 of the whole corpus, folded to 26 letters; no candidate with a digit or capitals within is one), the path (here the source), and the neighbouring words.
@@ -11,7 +12,8 @@ else findings labelled by ``by_rule`` (a value assigned to a name for secrets).
 ``TRAIN`` findings are learnt from, in hash order; scoring covers all.
 
 Defined cases: null text has no candidates; a null source is the empty path; findings
-are numbered by word, so repeated candidates stay apart; repeated rows repeat their
+are numbered by word and part of the word, so repeated candidates stay apart (a table of
+labels without ``part`` labels all parts of a word); repeated rows repeat their
 findings; without findings of both labels the score is the rule's label; an empty table
 gives an empty result; extra columns are ignored.
 """
@@ -23,13 +25,16 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.common import saved, table
 
-LEAST, TRAIN, TREES, DEPTH, SEED, KEEP = 12, 4000, 24, 6, 17, 0.5
+LEAST, NAMED_LEAST, TRAIN, TREES, DEPTH, SEED, KEEP = 12, 6, 4000, 24, 6, 17, 0.5
 #: A letter triple is known if it is in this many of a million distinct dictionary words, and in two at least.
 KNOWN = 100
 #: A dictionary word: letters only, but for punctuation around it.
 PLAIN, CAMEL = r"^[(\[\"'«„“]*\p{L}+[.,;:!?)\]\"'»“”]*$", r"\p{Ll}\p{Lu}"
 SPACE = r"[\x20\x09-\x0D]+"
 SECRET_NAME = r"(?i)(token|secret|passw|api_?key|access_?key|private_?key|credential|auth|bearer)"
+#: Parts of a word: name and value (of any quotes), a token with the quote before it, or what lies between.
+NAMED = r"[\"'`]?([A-Za-z_][A-Za-z0-9_.-]*)[\"'`]?[=:]+[\"'`]*([^\"'`&;,?<>{}()\[\]]+)"
+PART = NAMED + r"|[\"'`]?[^\"'`&;,?<>{}()\[\]=:]+=*|[\"'`&;,?<>{}()\[\]=:]"
 FEATURES = (
     "length", "digits", "capitals", "lower", "other", "hexadecimal", "distinct", "changes", "pair_logp", "known_share",
     "path_depth", "path_length", "path_is_test", "quoted", "assigned", "named", "before_known", "after_known",
@@ -37,22 +42,27 @@ FEATURES = (
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, path, place, word, two words before, one after) for each candidate; place counts words from 0."""
+    """(doc_id, path, place, part, raw, value, two words before, one after) for each candidate; place counts words, part the parts of a word, both from 0."""
     words = F.split(F.coalesce("text", F.lit("")), SPACE)
-    looks = lambda w: (F.length(w) >= LEAST) & w.rlike(r"[0-9]|[a-z][A-Z]")
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: looks(F.get("words", i)))
+    machine = lambda w: (F.length(w) >= LEAST) & w.rlike(r"[0-9]|[a-z][A-Z]")
+    word_at = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    # a value some words after its name: name = value, name: value
+    after_name = lambda b2, b1: b1.rlike("[=:][\"'`]?$") & (b1.rlike(SECRET_NAME) | b2.rlike(SECRET_NAME))
+    wanted = lambda i: machine(word_at(i)) | word_at(i).rlike(SECRET_NAME + "[^=:]*[=:]") | ((F.length(word_at(i)) >= NAMED_LEAST) & after_name(word_at(i - 2), word_at(i - 1)))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), wanted)
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("path"), words.alias("words"))
     rows = rows.select("doc_id", "path", "words", F.explode(at).alias("place"))
-    near = lambda k: F.coalesce(F.get("words", F.col("place") + k), F.lit(""))
+    near = lambda k: word_at(F.col("place") + k)
     rows = rows.select("doc_id", "path", "place", near(0).alias("word"), near(-2).alias("before2"), near(-1).alias("before1"), near(1).alias("after1"))
+    rows = rows.select("doc_id", "path", "place", F.posexplode(F.regexp_extract_all("word", F.lit(PART), F.lit(0))).alias("part", "piece"), "before2", "before1", "after1")
     # name=value and name:value in one word: the name goes to the words before
-    inner = F.regexp_extract("word", r"^([A-Za-z_.-]+)[=:]+[\"']?(.*)$", 2)
-    rows = rows.withColumn("glued", F.length(inner) >= LEAST)
-    rows = rows.withColumn("before2", F.when(F.col("glued"), F.regexp_extract("word", r"^([A-Za-z_.-]+)[=:]", 1)).otherwise(F.col("before2")))
-    rows = rows.withColumn("before1", F.when(F.col("glued"), F.lit("=")).otherwise(F.col("before1")))
-    rows = rows.withColumn("raw", F.when(F.col("glued"), inner).otherwise(F.col("word")))
-    value = F.regexp_replace("raw", r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", "")
-    return rows.withColumn("value", value).filter(looks(F.col("value"))).drop("glued", "word")
+    name, inner = (F.regexp_extract("piece", "^" + NAMED + "$", k) for k in (1, 2))
+    rows = rows.withColumn("name", name).withColumn("raw", F.when(F.col("name") != "", inner).otherwise(F.col("piece")))
+    rows = rows.withColumn("before2", F.when(F.col("name") != "", F.col("name")).otherwise(F.col("before2")))
+    rows = rows.withColumn("before1", F.when(F.col("name") != "", F.lit("=")).otherwise(F.col("before1")))
+    rows = rows.withColumn("value", F.regexp_replace("raw", r"^[^A-Za-z0-9]+|[^A-Za-z0-9=]+$", ""))
+    held = machine(F.col("value")) | ((F.length("value") >= NAMED_LEAST) & after_name(F.col("before2"), F.col("before1")))
+    return rows.filter(held).drop("name", "piece")
 
 
 def _fold(word: Column) -> Column:
@@ -139,10 +149,10 @@ def scored(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAI
 
     found = saved(featured(candidates(docs), *_literals(docs)))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found.withColumn("rule", by_rule()))
-    known = rows.withColumn("label", F.col("rule")) if labelled is None else rows.join(labelled, ["doc_id", "place"])
-    order = F.xxhash64("doc_id", "place", "value")
+    known = rows.withColumn("label", F.col("rule")) if labelled is None else rows.join(labelled, ["doc_id", "place", *(["part"] if "part" in labelled.columns else [])])
+    order = F.xxhash64("doc_id", "place", "part", "value")
     # half of the bound for either label, so that rare secrets are seen
-    halves = [known.filter(F.col("label") == k).orderBy(order, "doc_id", "place").limit(train // 2).select("features", "label") for k in (0.0, 1.0)]
+    halves = [known.filter(F.col("label") == k).orderBy(order, "doc_id", "place", "part").limit(train // 2).select("features", "label") for k in (0.0, 1.0)]
     lesson = saved(halves[0].unionByName(halves[1]).coalesce(1))
     if lesson.select("label").distinct().count() < 2:
         return rows.withColumn("score", F.col("rule")).withColumn("is_secret", F.col("score") >= KEEP).drop("features", "rule")
@@ -153,4 +163,4 @@ def scored(docs: DataFrame, labelled: DataFrame | None = None, train: int = TRAI
 
 def op9_secret_scan(spark, sf_dir):
     found = scored(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("place").cast("long").alias("place"), "value", F.round("score", 6).alias("score"), "is_secret")
+    return found.select("doc_id", F.col("place").cast("long").alias("place"), F.col("part").cast("long").alias("part"), "value", F.round("score", 6).alias("score"), "is_secret")
