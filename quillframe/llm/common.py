@@ -30,8 +30,18 @@ def saved(frame: DataFrame) -> DataFrame:
     Every executor can reread the files, so losing one costs nothing that was saved.
     """
     path = f"{shared_dir(frame.sparkSession)}/quillframe/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
+    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    out._quillframe_path = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Deletes the files of saved tables that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._quillframe_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
