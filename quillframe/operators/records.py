@@ -12,16 +12,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Rows that are looked at for each range's bound.
+SAMPLED = 32
+
+
+def _cuts(df: DataFrame, first: str, n: int) -> list:
+    """n - 1 bounds of about equal ranges of a column of any ordered type, from a sample in hash order of SAMPLED rows a range."""
+    rows = df.select(F.col(first).alias("_k")).filter("_k is not null").orderBy(F.xxhash64("_k", F.monotonically_increasing_id()), "_k").limit(SAMPLED * n)
+    found = sorted(r["_k"] for r in rows.collect())
+    return sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
+
+
+def _range_of(key: Column, cuts: list, kind: str, low: int = 0) -> Column:
+    """Number of bounds below the key, by halving: a row makes as many comparisons as the bounds have bits."""
+    if not cuts:
+        return F.lit(low)
+    mid = len(cuts) // 2
+    bound = F.lit(cuts[mid]).cast(kind)
+    return F.when(key <= bound, _range_of(key, cuts[:mid], kind, low)).otherwise(_range_of(key, cuts[mid + 1 :], kind, low + mid + 1))
+
+
 def _by_ranges(df: DataFrame, order: list[str], size: Column) -> DataFrame:
     """Adds _part, and _before: the sum of ``size`` over all earlier rows, without a single-task window."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = order[0]
-    cuts = df.stat.approxQuantile(first, [k / n for k in range(1, n)], 0.5 / n) if n > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double", "float", "smallint") else []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(first) > F.lit(c)).cast("int")
-    rows = df.withColumn("_part", F.coalesce(part, F.lit(-1))).withColumn("_size", size.cast("long"))
+    cuts = _cuts(df, first, n) if n > 1 else []
+    part = F.when(F.col(first).isNull(), -1).otherwise(_range_of(F.col(first), cuts, dict(df.dtypes)[first]))
+    rows = df.withColumn("_part", part).withColumn("_size", size.cast("long"))
     sums = rows.groupBy("_part").agg(F.sum("_size").alias("_sum"))  # as many rows as partitions
     shift = sums.withColumn("_shift", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     own = F.coalesce(F.sum("_size").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -29,7 +46,7 @@ def _by_ranges(df: DataFrame, order: list[str], size: Column) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "rec_no") -> DataFrame:
-    """1-based record numbers in the given order, which must be total. A numeric first key spreads the work."""
+    """1-based record numbers in the given order, which must be total. The work is spread over ranges of the first key, of whatever type."""
     return _by_ranges(df, order, F.lit(1)).withColumn(name, F.col("_before") + 1).drop("_before", "_size")
 
 
@@ -66,10 +83,7 @@ def record_at_offset(offsets: DataFrame, probes: DataFrame, probe: str = "probe"
     asked = probes.select(F.col(probe).alias("_at"), F.lit(None).cast("long").alias("rec_no"), F.col(probe).cast("long").alias(probe))
     both = starts.unionByName(asked)
     n = int(offsets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(offsets.stat.approxQuantile("offset", [k / n for k in range(1, n)], 0.5 / n))) if n > 1 else []
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col("_at") >= F.lit(c)).cast("int")
+    part = _range_of(F.col("_at"), _cuts(offsets, "offset", n) if n > 1 else [], dict(both.dtypes)["_at"])
     both = both.withColumn("_part", part)
     within = F.max("rec_no").over(W.partitionBy("_part").orderBy("_at", F.col(probe).asc_nulls_first()))
     tops = both.groupBy("_part").agg(F.max("rec_no").alias("_top"))  # as many rows as partitions

@@ -237,26 +237,57 @@ def contiguous_groups(df: DataFrame, by: list[str], order: str, key: Column, nam
     return df.withColumn("_new", change).withColumn(name, F.sum("_new").over(w)).drop("_new")
 
 
-def inserted_sibling(nodes: DataFrame, target: Column, name: str, after: bool = True) -> DataFrame:
-    """Adds an empty element beside each target node and renumbers the siblings; its place in the document is its pointer's."""
-    width = F.lit(0.5 if after else -0.5)
-    new = nodes.filter(target).select(
-        *[F.col(c) for c in nodes.columns if c not in ("sib_no", "name", "attrs", "text", "kind", "path")],
-        (F.col("sib_no") + width).alias("sib_no"), F.lit("element").alias("kind"), F.lit(name).alias("name"), F.create_map().cast("map<string,string>").alias("attrs"),
-        F.lit(None).cast("string").alias("text"), F.regexp_replace("path", "[^/]*$", name).alias("path"),
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with _at, their pointers as arrays of numbers between which others fit."""
+    return nodes.withColumn("_at", F.transform(F.split("pointer", "/"), lambda p: p.cast("double")))
+
+
+def renumbered(rows: DataFrame) -> DataFrame:
+    """A node table from rows with kind, name, attrs, text and _at, the place in the document; all numbers, paths and languages are made anew.
+
+    Every row is joined with the rows at the beginnings of its place, its ancestors; all of it is keyed by doc_id.
+    """
+    base = rows.select("doc_id", "kind", "name", "attrs", "text", "_at", F.size("_at").alias("depth"))
+    document, siblings = W.partitionBy("doc_id").orderBy("_at"), W.partitionBy("doc_id", F.slice("_at", F.lit(1), F.size("_at") - 1)).orderBy("_at")
+    base = base.withColumns({"pre": F.row_number().over(document) - 1, "sib_no": F.row_number().over(siblings)})
+    language = F.coalesce(*[F.when(F.element_at("attrs", F.lit(k)) != "", F.element_at("attrs", F.lit(k))) for k in ("lang", "xml:lang")])
+    ups = base.select(F.col("doc_id").alias("_doc"), F.col("_at").alias("_up"), F.struct("depth", "sib_no", "name", "pre", language.alias("lang")).alias("_of"))
+    lines = base.select("doc_id", "pre", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.slice("_at", F.lit(1), k))).alias("_up"))
+    lines = lines.join(ups, (F.col("doc_id") == F.col("_doc")) & (lines["_up"] == ups["_up"])).select("doc_id", "pre", "_of")
+    above = lines.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list("_of")).alias("_line"))
+    inside = lines.groupBy("doc_id", F.col("_of.pre").alias("pre")).agg((F.count("*") - 1).cast("int").alias("_inside"))
+    joined = lambda name: F.array_join(F.transform("_line", lambda u: u[name].cast("string")), "/")
+    known = F.filter("_line", lambda u: u["lang"].isNotNull())
+    out = base.join(above, ["doc_id", "pre"]).join(inside, ["doc_id", "pre"]).withColumns(
+        {
+            "post": F.col("pre") - F.col("depth") + 1 + F.col("_inside"), "parent": F.get("_line", F.col("depth") - 2)["pre"],
+            "path": joined("name"), "pointer": joined("sib_no"), "lang": F.get(known, F.size(known) - 1)["lang"],
+        }
     )
-    rows = nodes.withColumn("sib_no", F.col("sib_no").cast("double")).unionByName(new)
-    return rows.withColumn("sib_no", F.row_number().over(W.partitionBy("doc_id", "parent").orderBy("sib_no")))
+    return out.select(*[c.split(" ")[0] for c in NODE.split(", ")])
+
+
+def inserted_sibling(nodes: DataFrame, target: Column, name: str, after: bool = True) -> DataFrame:
+    """Adds an empty element before or after each target node."""
+    rows = _placed(nodes)
+    last = F.size("_at")
+    beside = F.concat(F.slice("_at", F.lit(1), last - 1), F.array(F.element_at("_at", last) + F.lit(0.5 if after else -0.5)))
+    new = rows.filter(target).select("doc_id", F.lit("element").alias("kind"), F.lit(name).alias("name"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("text"), beside.alias("_at"))
+    return renumbered(rows.select(*new.columns).unionByName(new))
 
 
 def wrapped_in_parent(nodes: DataFrame, target: Column, name: str) -> DataFrame:
-    """Puts an element of the name around each target node: targets move one level down, and so does all in them."""
-    t = nodes.filter(target).select("doc_id", F.col("pre").alias("p"), F.col("post").alias("q"), F.col("path").alias("tp"), F.col("depth").alias("td"))
-    inside = nodes.join(t, (nodes.doc_id == t.doc_id) & (nodes.pre >= t.p) & (nodes.post <= t.q), "left").drop(t.doc_id)
-    moved = F.col("p").isNotNull()
-    head = F.regexp_replace("tp", "[^/]*$", "")
-    path = F.when(moved, F.concat(head, F.lit(name + "/"), F.substr("path", F.length(head) + 1))).otherwise(F.col("path"))
-    return inside.withColumns({"depth": F.col("depth") + F.when(moved, 1).otherwise(0), "path": path}).drop("p", "q", "tp", "td")
+    """Puts an element of the name around each target node; targets may lie in one another."""
+    rows = _placed(nodes)
+    targets = rows.filter(target).select(F.col("doc_id").alias("_doc"), F.col("_at").alias("_top"), F.size("_at").alias("_deep"))
+    ups = rows.select("doc_id", "pre", F.explode(F.transform(F.sequence(F.lit(1), F.size("_at")), lambda k: F.slice("_at", F.lit(1), k))).alias("_up"))
+    deep = ups.join(targets, (F.col("doc_id") == F.col("_doc")) & (F.col("_up") == F.col("_top"))).groupBy("doc_id", "pre").agg(F.collect_list("_deep").alias("_cuts"))
+    rows = rows.join(deep, ["doc_id", "pre"], "left")
+    # a step down more behind every target on the way
+    steps = F.transform("_at", lambda x, i: F.when(F.array_contains("_cuts", i + 1), F.array(x, F.lit(1.0))).otherwise(F.array(x)))
+    rows = rows.withColumns({"_own": F.coalesce(F.array_contains("_cuts", F.size("_at")), F.lit(False)), "_at": F.when(F.col("_cuts").isNull(), F.col("_at")).otherwise(F.flatten(steps))})
+    wrapper = rows.filter("_own").select("doc_id", F.lit("element").alias("kind"), F.lit(name).alias("name"), F.create_map().cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("text"), F.slice("_at", F.lit(1), F.size("_at") - 1).alias("_at"))
+    return renumbered(rows.select(*wrapper.columns).unionByName(wrapper))
 
 
 def merged_sibling_texts(nodes: DataFrame) -> DataFrame:
@@ -297,6 +328,7 @@ def serialized(nodes: DataFrame) -> DataFrame:
         .when(F.col("kind") == "comment", F.concat(F.lit("<!--"), "text", F.lit("-->")))
         .when(F.col("kind") == "pi", F.concat(F.lit("<?"), "text", F.lit(">")))
         .when(F.col("kind") == "doctype", F.concat(F.lit("<!"), "text", F.lit(">")))
+        .when(F.col("path").rlike("(^|/)(script|style)/#text$"), F.col("text"))  # not markup: escapes would change the program
         .otherwise(escape_xml_content(F.col("text")))
     )
     # an end tag comes after all inside it: sort by pointer, with the end behind every child

@@ -55,6 +55,13 @@ def from_pairs(rows: DataFrame, pairs: Column, names: list[str]) -> DataFrame:
     return rows.select("src", "rec_no", *[F.try_element_at("_m", F.lit(n)).alias(n) for n in names])
 
 
+def mapped(entries: Column) -> Column:
+    """A map from an array of (name, value) structures; of entries with one name the last counts."""
+    name = lambda e: F.element_at(F.map_values(F.map_from_arrays(F.array(F.lit(0)), F.array(e))), 1)["col1"]
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: name(later) == name(e)))
+    return F.map_from_entries(last)
+
+
 def discovered(rows: DataFrame, pairs: Column) -> list[str]:
     """Field names in order of first appearance: the pass that fixes a dynamic schema. One row per distinct name comes back."""
     names = rows.select("src", "rec_no", F.posexplode(F.map_keys(pairs)).alias("pos", "name"))
@@ -73,6 +80,29 @@ def quotes_balanced(x: Column, quote: str = '"', escape: str = "", qdouble: bool
     return count % 2 == 0
 
 
+#: What letters stand for behind an escape character (fixed values).
+MNEMONICS = {"a": "\a", "b": "\b", "e": "\x1b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+
+
+def unescaped(x: Column, escape: str) -> Column:
+    """Escapes decoded: letters for control characters, octal, xFF, x{F...}, uFFFF and UFFFFFFFF for code points; any other character stands for itself."""
+    e = re.escape(escape)
+    pieces = F.regexp_extract_all(x, F.lit(rf"({e}(?:x\{{[0-9A-Fa-f]{{1,8}}\}}|x[0-9A-Fa-f]{{2}}|u[0-9A-Fa-f]{{4}}|U[0-9A-Fa-f]{{8}}|[0-7]{{1,3}}|[\s\S])|[^{e}]+|{e})"), F.lit(1))
+    point = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    def decoded(p: Column) -> Column:
+        body = F.substr(p, F.lit(2), F.length(p))
+        return (
+            F.when(~p.startswith(escape) | (body == ""), p)
+            .when(body.rlike(r"^[xuU]\{?[0-9A-Fa-f]{2,}\}?$|^x\{"), point(F.regexp_replace(body, "[^0-9A-Fa-f]", "")))
+            .when(body.rlike("^[0-7]+$"), point(F.conv(body, 8, 16)))
+            .when(body.isin(*MNEMONICS), F.translate(body, "".join(MNEMONICS), "".join(MNEMONICS.values())))
+            .otherwise(body)
+        )
+
+    return F.when(F.instr(x, escape) > 0, F.array_join(F.transform(pieces, decoded), "")).otherwise(x)
+
+
 def csv_cells(x: Column, o: dict[str, Any]) -> Column:
     """Cells of a record. Without quotes and escapes in it the record is plainly split; otherwise cells are matched one by one."""
     sep, quote, escape = (re.escape(o[k]) if o[k] else "" for k in ("field_sep", "quote", "escape"))
@@ -91,7 +121,7 @@ def csv_cells(x: Column, o: dict[str, Any]) -> Column:
             body = F.replace(body, F.lit(o["quote"] * 2), F.lit(o["quote"])) if o["qdouble"] else body
             loose = scalars.trim(c) if o["strip_fields"] else c
             out = F.when(c.rlike(quoted), body).otherwise(loose)
-            return F.regexp_replace(out, rf"{escape}([\s\S])", "$1") if escape else out
+            return unescaped(out, o["escape"]) if escape else out
 
         special = F.instr(x, o["quote"]) > 0
         if o["escape"]:
@@ -222,7 +252,7 @@ def read_mime(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     rows = df.select("src", F.posexplode(blocks).alias("pos", "value")).select("src", (F.col("pos") + 1).cast("long").alias("rec_no"), "value")
     folded = F.regexp_replace(F.regexp_replace("value", r"\n[ \t]+", " "), r"\s+\z", "")
     heads = F.filter(F.split(folded, "\n"), lambda h: h.rlike(r"^[!-9;-~]+:"))
-    pairs = F.map_from_entries(F.transform(heads, lambda h: F.struct(F.regexp_extract(h, r"^([!-9;-~]+):", 1), F.regexp_extract(h, r"^[!-9;-~]+:\s*(.*)$", 1))))
+    pairs = mapped(F.transform(heads, lambda h: F.struct(F.regexp_extract(h, r"^([!-9;-~]+):", 1), F.regexp_extract(h, r"^[!-9;-~]+:\s*(.*)$", 1))))
     return from_pairs(rows, pairs, o["field_names"] or discovered(rows, pairs))
 
 
@@ -232,12 +262,14 @@ def read_manchester(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     frames = F.filter(F.split(clean, r"(?m)^(?=\s*(?:Individual|Datatype|Class|ObjectProperty|DataProperty|AnnotationProperty|Prefix|Ontology):)"), lambda f: f.rlike(r"^\s*Individual:"))
     rows = df.select("src", F.posexplode(frames).alias("pos", "value")).select("src", (F.col("pos") + 1).cast("long").alias("rec_no"), "value")
     name = F.regexp_extract("value", r"Individual:\s*(\S+)", 1)
-    facts = F.regexp_extract_all(F.regexp_replace("value", r"(?s)^.*?Facts:", ""), F.lit(r"(\w[-\w.]*\s+(?:\"[^\"]*\"|'[^']*'|[^,\s]+))"), 1)
+    facts = F.regexp_extract_all(F.regexp_replace("value", r"(?s)^.*?Facts:", ""), F.lit(r"(\w[-\w.]*\s+(?:\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|[^,\s]+))"), 1)
     has = F.col("value").rlike("Facts:")
-    entries = F.transform(facts, lambda f: F.struct(F.regexp_extract(f, r"^(\S+)", 1), F.regexp_replace(F.regexp_extract(f, r"^\S+\s+(?s)(.*)$", 1), r"^([\"'])(.*)\1$", "$2")))
+    quoted = r"(?s)^([\"'])(.*)\1$"
+    value = lambda v: F.when(v.rlike(quoted), F.regexp_replace(F.regexp_replace(v, quoted, "$2"), r"(?s)\\(.)", "$1")).otherwise(v)
+    entries = F.transform(facts, lambda f: F.struct(F.regexp_extract(f, r"^(\S+)", 1), value(F.regexp_extract(f, r"^\S+\s+(?s)(.*)$", 1))))
     kinds = F.regexp_extract("value", r"Types:\s*([^\n]*\S)", 1)
     own = F.array(F.struct(F.lit("Id"), name), F.struct(F.lit("Types"), kinds))
-    pairs = F.map_from_entries(F.concat(own, F.when(has, entries).otherwise(F.slice(own, 1, 0))))
+    pairs = mapped(F.concat(own, F.when(has, entries).otherwise(F.slice(own, 1, 0))))
     return from_pairs(rows, pairs, o["field_names"] or discovered(rows, pairs))
 
 
@@ -249,7 +281,7 @@ def read_sexp(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     atom = r"(?:'(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|[^\s()]++)"
     strip = lambda a: F.regexp_replace(F.regexp_replace(a, r"^(['\"])([\s\S]*)\1$", "$2"), r"\\(.)", "$1")
     found = F.regexp_extract_all("value", F.lit(rf"(\(\s*[^\s()'\"]+\s+\.?\s*{atom}\s*\))"), 1)
-    pairs = F.map_from_entries(F.transform(found, lambda p: F.struct(F.regexp_extract(p, r"^\(\s*([^\s()]+)", 1), strip(F.regexp_extract(p, rf"^\(\s*[^\s()]+\s+(?:\.\s+)?({atom})\s*\)$", 1)))))
+    pairs = mapped(F.transform(found, lambda p: F.struct(F.regexp_extract(p, r"^\(\s*([^\s()]+)", 1), strip(F.regexp_extract(p, rf"^\(\s*[^\s()]+\s+(?:\.\s+)?({atom})\s*\)$", 1)))))
     if o["field_names"]:
         plain = F.transform(F.regexp_extract_all(F.regexp_replace("value", r"^\(\s*(?:tr\s+)?", ""), F.lit(f"({atom})"), 1), strip)
         keyed = F.map_from_arrays(F.slice(F.array(*[F.lit(n) for n in o["field_names"]]), F.lit(1), F.least(F.size(plain), F.lit(len(o["field_names"])))), F.slice(plain, 1, len(o["field_names"])))
@@ -264,7 +296,7 @@ def read_perl(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     found = F.regexp_extract_all("value", F.lit(rf"({value}\s*=>\s*{value})"), 1)
     strip = lambda a: F.regexp_replace(F.regexp_replace(a, r"^(['\"])([\s\S]*)\1$", "$2"), r"\\(.)", "$1")
     part = lambda p, k: strip(F.regexp_extract(p, rf"^({value})\s*=>\s*({value})$", k))
-    pairs = F.map_from_entries(F.transform(found, lambda p: F.struct(part(p, 1), part(p, 2))))
+    pairs = mapped(F.transform(found, lambda p: F.struct(part(p, 1), part(p, 2))))
     return from_pairs(rows, pairs, o["field_names"] or discovered(rows, pairs))
 
 
@@ -289,7 +321,8 @@ def read_xml(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     for name in o["attr_fields"] or []:
         got = F.regexp_extract(opening, rf"\b{re.escape(name)}\s*=\s*[\"']([^\"']*)[\"']", 1)
         entries = F.concat(F.array(F.struct(F.lit(name), got)), entries)
-    out = from_pairs(rows, F.map_from_entries(entries), o["field_names"] or discovered(rows, F.map_from_entries(entries)))
+    pairs = mapped(entries)
+    out = from_pairs(rows, pairs, o["field_names"] or discovered(rows, pairs))
     return out.select("src", "rec_no", *[_decoded(F.col(c)).alias(c) for c in out.columns[2:]])
 
 
@@ -324,7 +357,7 @@ def read_xsv(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     rows = df.select("src", F.posexplode(found).alias("pos", "value")).select("src", (F.col("pos") + 1).cast("long").alias("rec_no"), "value")
     attrs = F.regexp_extract_all("value", F.lit(f"({_ATTR.replace('([A-Za-z_:][-\\w.:]*)', '[A-Za-z_:][-\\w.:]*').replace('(\\\"', '(?:\\\"')})"), 1)
     entry = lambda a: F.struct(F.regexp_extract(a, r"^([^=\s]+)", 1), F.regexp_replace(F.regexp_extract(a, r"(?s)=\s*(.*)$", 1), r"(?s)^['\"]|['\"]$", ""))
-    rows = rows.select("src", "rec_no", F.map_from_entries(F.transform(attrs, entry)).alias("_m"))
+    rows = rows.select("src", "rec_no", mapped(F.transform(attrs, entry)).alias("_m"))
     errors, columns = [], []
     known = F.array(*[F.lit(n) for n in fields]) if fields else F.array().cast("array<string>")
     stray = F.transform(F.array_except(F.map_keys("_m"), known), lambda n: F.struct(F.lit("UNKATTR").alias("code"), n.alias("field")))

@@ -29,18 +29,22 @@ def _concat(parts: list[Column], sep: str = "") -> Column:
 
 
 def csv_field(x: Column, o: dict[str, Any]) -> Column:
-    """Quotes doubled or escaped, line breaks escaped unless allowed; quoted if it holds a quote, separator or line break."""
+    """Quotes doubled or escaped; line breaks kept if ``nl_in_quotes``, else escaped, or spaces without an escape character, so that a record stays a line."""
     q, e = o["quote"], o["escape"]
     special = x.contains(o["field_sep"]) | x.rlike(r"[\r\n]") | (x.contains(q) if q else F.lit(False)) | x.rlike(r"^\s|\s$")
     body = x
     if e:
-        body = F.replace(F.replace(body, F.lit(e), F.lit(e + e)), F.lit(q), F.lit(e + q))
-        body = body if o["nl_in_quotes"] else F.replace(body, F.lit("\n"), F.lit(e + "n"))
+        body = F.replace(body, F.lit(e), F.lit(e + e))
+        body = F.replace(body, F.lit(q), F.lit(e + q)) if q else F.replace(body, F.lit(o["field_sep"]), F.lit(e + o["field_sep"]))
+    if not o["nl_in_quotes"]:
+        body = F.replace(F.replace(body, F.lit("\n"), F.lit(e + "n")), F.lit("\r"), F.lit(e + "r")) if e else F.regexp_replace(body, r"\r\n?|\n", " ")
+    if e:
+        pass
     elif o["qdouble"]:
         body = F.replace(body, F.lit(q), F.lit(q + q))
     else:
         body = F.replace(body, F.lit(q), F.lit(""))
-    return F.when(special, F.concat(F.lit(q), body, F.lit(q))).otherwise(x)
+    return F.when(special, F.concat(F.lit(q), body, F.lit(q))).otherwise(body if e else x)
 
 
 def csv_record(columns: list[str], o: dict[str, Any]) -> Column:
@@ -110,7 +114,7 @@ def manchester_record(columns: list[str], o: dict[str, Any]) -> Column:
     facts = []
     for c in columns[1:]:
         x = F.col(c).cast("string")
-        facts.append(F.concat(F.lit(f"{c} "), F.when(x.rlike(r"['()\s,\"]") | (x == ""), F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit("'")), F.lit('"'))).otherwise(x)))
+        facts.append(F.concat(F.lit(f"{c} "), F.when(x.rlike(r"['()\s,\"\\]") | (x == ""), _double_quoted(x)).otherwise(x)))
     return F.concat(F.lit("Individual: "), _text(columns[0]), F.lit("\n    Facts: "), _concat(facts, ",\n        "), F.lit("\n"))
 
 
