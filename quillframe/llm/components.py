@@ -31,6 +31,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of one comparable type to (node, component): every node of an edge, with its component's smallest node."""
     edges = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = None
     while True:
         edges = saved(_small_star(_large_star(edges)))

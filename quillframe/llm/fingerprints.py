@@ -28,6 +28,8 @@ from quillframe.llm.codepoints import BASE, chunks, mix, points, powers
 from quillframe.llm.common import partitions, table
 
 SKETCH, LEVELS, SHORT = 64, 4, 4
+#: Bytes of text in a range.
+RANGE = 32_000_000
 #: Longer runs of one symbol are named as runs of this length, so that a piece of a run resembles the run.
 LONG_RUN = 8
 
@@ -164,9 +166,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One shuffle of the texts: documents are dealt into ranges of doc_id, and the first of each range is also sent to the range above."""
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    """One shuffle of the texts: documents are dealt into ranges of doc_id, and the first of each range is also sent to the range above.
+
+    Every range is a partition of its own, of ``RANGE`` bytes or so at most.
+    """
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(partitions(spark), -(-int(size) // RANGE))
     bounds = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
     cuts = np.array(bounds)
 
@@ -180,7 +186,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edges = spark.createDataFrame(routes, "bucket int, top long")  # a row per bucket, of which there are as many as partitions
     placed = docs.withColumns({"bucket": bucket_of("doc_id"), "ghost": F.lit(False)})
     ghosts = docs.join(F.broadcast(edges), F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "text", "bucket", F.lit(True).alias("ghost"))
-    rows = placed.unionByName(ghosts).repartition(n, "bucket")
+    # the null bucket is -1
+    rows = placed.unionByName(ghosts).repartitionById(n + 1, F.col("bucket") + 1)
     rows = rows.sortWithinPartitions("bucket", "ghost", F.desc_nulls_last("doc_id"), F.desc_nulls_last("text"))
     return rows.select("bucket", "ghost", "doc_id", "text").mapInPandas(
         _walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -4,20 +4,26 @@ Words are runs of letters and digits, lower case; a document's set holds its fiv
 shingles (or, below five words, the one shingle of all its words). Documents with equal
 sets are one class and are represented by their smallest doc_id.
 
-The forest has ``TREES`` prefix tries of ``DEPTH`` min-hashes. Matched prefixes start at
-full depth and are shortened until a pair at the threshold is found in some tree with at
-least the target recall: 1 - (1 - t^d)^TREES >= RECALL. Documents that share a prefix of
-that depth are linked; components of those links are families, which are verified
-exactly in blocks of ``BLOCK`` x ``BLOCK`` set intersections, so a family of any size is spread
-over many tasks, no pair is written out, and no pair within a family is left out.
+The forest has ``TREES`` prefix tries: a document's place in a trie is its ``DEPTH``
+min-hashes there, in order, so documents sorted by them meet under common prefixes. Full
+prefixes are matched first. How often two documents match over the trees tells how alike
+they are; from all such matches follows what share of the pairs above the threshold a
+depth finds (each match weighed by the chance of seeing it), and prefixes are shortened
+until that share reaches ``RECALL``. Documents that share a prefix of the depth found are
+linked; components of those links are families, which are verified exactly in blocks of
+``BLOCK`` x ``BLOCK`` set intersections, so a family of any size is spread over many
+tasks, no pair is written out, and no pair within a family is left out. All pairs of a
+family are looked at because the result counts every link.
 
 Result: one row per document with its class (smallest doc_id of its component of links of
 Jaccard >= t), the representative of its equal set, and n_links, the number of other
 different sets it is linked to.
 
 Defined cases: null and empty texts have no words, are linked to nothing and are classes
-of their own; repeated rows repeat their result and are not linked to one another; an empty table gives an empty
-result; extra columns are ignored.
+of their own; rows that repeat a doc_id and text repeat their result and are not linked to
+one another; rows that repeat a doc_id with another text have a result of their own (their
+class is still named by the smallest doc_id in it); rows without doc_id are left out; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,11 +42,25 @@ from quillframe.llm.components import components
 SHINGLE, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 5, 0.8, 0.9995, 24, 8, 256
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix that reaches the target recall for pairs at the threshold."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def prefix_depth(matches: dict[int, int], threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
+    """The longest prefix that finds the share ``recall`` of the pairs at or above the threshold.
+
+    matches: how many pairs match over the full depth in so many trees. A pair that matches in m of the trees is about
+    (m / trees) ** (1 / depth) alike, and stands for 1 / (chance of matching at all) pairs like it.
+    """
+
+    def found(s: float, d: int) -> float:
+        return 1 - (1 - s**d) ** trees
+
+    alike = {max(threshold, (m / trees) ** (1 / depth)): 0.0 for m in matches}
+    for m, n in matches.items():
+        s = max(threshold, (m / trees) ** (1 / depth))
+        alike[s] += n / found(s, depth)
+    whole = sum(alike.values())
+    for d in range(depth, 1, -1):
+        if not whole or sum(n * found(s, d) for s, n in alike.items()) >= recall * whole:
+            return d
+    return 1
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -87,21 +107,22 @@ def _profile(depth: int, trees: int):
             for part in chunks([len(t) for t in texts]):
                 sets = shingle_sets(texts[part])
                 full = [k for k, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), trees), np.int64)
+                places: list[list[bytes]] = [[] for _ in sets]
                 if full:
-                    tries = signatures([sets[k] for k in full], trees * depth).reshape(len(full), trees, depth)
-                    key = np.zeros((len(full), trees), np.uint64)
-                    for d in range(depth):
-                        key = key * BASE + tries[:, :, d]
-                    keys[full] = mix(key + np.arange(trees, dtype=np.uint64)).view(np.int64)
+                    tries = signatures([sets[k] for k in full], trees * depth).astype(">u4")
+                    width = 4 * depth
+                    for k, row in zip(full, tries, strict=True):
+                        raw = row.tobytes()
+                        places[k] = [raw[j * width : (j + 1) * width] for j in range(trees)]
                 digest = [(int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ BASE).sum(dtype=np.uint64)) + len(s)) if len(s) else (0, 0) for s in sets]
                 yield pd.DataFrame(
                     {
                         "doc_id": batch["doc_id"].iloc[part].to_numpy(),
+                        "th": batch["th"].iloc[part].to_numpy(),
                         "n": [len(s) for s in sets],
                         "set_a": np.array([d[0] & (2**64 - 1) for d in digest], np.uint64).view(np.int64),
                         "set_b": np.array([d[1] & (2**64 - 1) for d in digest], np.uint64).view(np.int64),
-                        "keys": [keys[k].tolist() if len(sets[k]) else [] for k in range(len(sets))],
+                        "places": places,
                     }
                 )
 
@@ -193,34 +214,48 @@ def _forest(left: np.ndarray, right: np.ndarray, hit: np.ndarray) -> list[tuple[
     return out
 
 
+def _prefix(depth: int):
+    """The first min-hashes of a place in a trie as one number."""
+    return F.xxhash64("tree", F.substring("place", 1, 4 * depth)).alias("prefix")
+
+
+def _under_one_prefix(tries: DataFrame, depth: int) -> DataFrame:
+    """(a, b): every node under a prefix of the depth with the least node under it."""
+    placed = tries.select("node", _prefix(depth))
+    first = placed.groupBy("prefix").agg(F.min("node").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return placed.join(first, "prefix").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """docs (doc_id, text) to (doc_id, class_id, copy_of, n_links, n_shingles)."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    depth = prefix_depth(threshold, recall, trees, depth)
-    profile = saved(docs.mapInPandas(_profile(depth, trees), "doc_id long, n long, set_a long, set_b long, keys array<long>"))
-    some = profile.filter("n > 0")
-    reps = some.groupBy("set_a", "set_b").agg(F.min_by(F.struct("keys", "n"), "doc_id").alias("of"), F.min("doc_id").alias("rep"))
-    tries = reps.select("rep", F.posexplode("of.keys").alias("tree", "key"))
-    tries = saved(tries)
-    first = tries.groupBy("tree", "key").agg(F.min("rep").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    proposed = tries.join(first, ["tree", "key"]).select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    families = saved(components(proposed))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("doc_id is not null")
+    profile = saved(docs.mapInPandas(_profile(depth, trees), "doc_id long, th long, n long, set_a long, set_b long, places array<binary>"))
+    reps = profile.filter("n > 0").groupBy("set_a", "set_b").agg(F.min_by(F.struct("places", "n"), F.struct("doc_id", "th")).alias("of"), F.min(F.struct("doc_id", "th")).alias("at"))
+    # a class of equal sets is a node with a number of its own
+    reps = saved(reps.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("at.doc_id").alias("rep"), "at.th", "of.places"))
+    tries = reps.select("node", F.posexplode("places").alias("tree", "place"))
+    full = _under_one_prefix(tries, depth).filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("m"))
+    # a row per number of trees
+    seen = {r["m"]: r["pairs"] for r in full.groupBy(F.least("m", F.lit(trees)).alias("m")).agg(F.count("*").alias("pairs")).collect()}
+    families = saved(components(_under_one_prefix(tries, prefix_depth(seen, threshold, recall, trees, depth))))
 
     sizes = families.groupBy("component").agg(F.count("*").alias("size"))
     members = families.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    members = members.join(reps.select("node", F.col("rep").alias("doc_id"), "th"), "node").select("node", "doc_id", "th", "component", "blocks", "block")
     # a merge join at every size: what it shuffles grows with the texts, and no member table is ever broadcast
-    wide = docs.join(members.select(F.col("node").alias("doc_id"), "component", "blocks", "block").hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    sets = wide.select(F.col("doc_id").alias("rep"), "component", "blocks", "block", "text")
+    wide = docs.join(members.hint("merge"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+    sets = wide.select(F.col("node").alias("rep"), "component", "blocks", "block", "text")
     sets = sets.mapInPandas(_sets, "rep long, component long, blocks int, block int, shingles binary")
     with_block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
     pairs = sets.withColumn("at", F.explode(with_block)).select("component", F.col("at.bi").alias("bi"), F.col("at.bj").alias("bj"), "block", "rep", "shingles")
     found = saved(pairs.groupBy("component", "bi", "bj").applyInPandas(_verify(threshold), "doc long, other long, links long"))
 
-    links = found.filter("links > 0").groupBy("doc").agg(F.sum("links").alias("n_links"))
+    links = found.filter("links > 0").groupBy(F.col("doc").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(found.filter("doc <> other").select(F.col("doc").alias("a"), F.col("other").alias("b")))
-    named = reps.select("set_a", "set_b", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("doc", "rep"), "rep", "left")
-    named = named.select("set_a", "set_b", "rep", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = reps.select("set_a", "set_b", "rep", "node").join(linked, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = named.join(least, "component").select("set_a", "set_b", "rep", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     known = profile.filter("n > 0").join(named, ["set_a", "set_b"]).select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links", F.col("n").alias("n_shingles"))
     own = profile.filter("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_shingles"))
     return known.unionByName(own)

@@ -10,11 +10,13 @@ cannot exclude, in order of their distance, and stops within each by the same bo
 
 Pivots come from a bounded sample (``SAMPLE`` rows by hash order) by k-means; the index
 holds every row. An annulus of more than ``CELL`` rows is dealt into parts by hash, so a
-third of all rows with one vector does not meet in one task, and queries come in blocks.
+third of all rows with one vector does not meet in one task. Queries come in blocks of one
+home pivot, and a part of an annulus goes only to the blocks that visit it.
 Scores are integer inner products, exact in float64 below 2**53.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
-part, neither as query nor as candidate; shorter vectors are padded with zeros; the
+part, neither as query nor as candidate, nor do rows without vec_id; of rows that repeat
+a vec_id the one of the largest vector (in array order) counts; shorter vectors are padded with zeros; the
 query's own row (by vec_id) is no candidate; ties go to the smaller vec_id; fewer
 candidates than k give fewer rows; an empty table gives none; extra columns are ignored.
 """
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import saved, table
@@ -42,7 +45,8 @@ def scaled(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding"
         vector, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
     )
     whole = F.transform(vector, lambda c: F.floor(F.lit(float(SCALE)) * c.cast("double")).cast("double"))
-    return vectors.filter(usable).select(F.col(vec_id).alias("vec_id"), whole.alias("x"))
+    rows = vectors.filter(usable & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("vec_id"), whole.alias("x"))
+    return rows.groupBy("vec_id").agg(F.max("x").alias("x"))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -138,7 +142,7 @@ def _searcher(top: float, width: int, k: int):
 
 
 def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best other rows for each row where is_query holds. vec_id must be unique."""
+    """(query_id, rank, vec_id, score) of the k best other rows for each row where is_query holds."""
     spark = vectors.sparkSession
     rows = saved(scaled(vectors, vec_id, vector))
     norm = F.aggregate("x", F.lit(0.0), lambda a, c: a + c * c)
@@ -190,20 +194,25 @@ def top_k(vectors: DataFrame, is_query, k: int = K, pivots: int = PIVOTS, vec_id
                             if near - d[j, p] <= radius and d[j, p] - far <= radius:
                                 at += [j] * parts[p, a]
                                 to += [(p, a, s, d[j, p]) for s in range(parts[p, a])]
-                out = batch[["query_id", "q", "bound"]].iloc[at].reset_index(drop=True)
+                out = batch[["query_id", "q", "bound", "block"]].iloc[at].reset_index(drop=True)
                 out["pivot"], out["annulus"], out["part"] = (np.array([t[i] for t in to], np.int32) for i in range(3))
                 out["to_pivot"] = np.array([t[3] for t in to], np.float64)
                 yield out
 
         return plan
 
-    shape = "query_id long, q array<double>, bound double, pivot int, annulus int, part int, to_pivot double"
-    blocks = max(1, -(-queries.count() // 512))
+    shape = "query_id long, q array<double>, bound double, block int, pivot int, annulus int, part int, to_pivot double"
+    # a row per pivot; a block is up to some 512 queries of one home
+    sizes = queries.groupBy("home").agg(F.ceil(F.count("*") / 512).cast("int").alias("blocks"))
+    before = W.orderBy("home").rowsBetween(W.unboundedPreceding, -1)
+    first = saved(sizes.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")))
+    queries = queries.join(F.broadcast(first), "home").withColumn("block", F.col("first") + F.pmod(F.xxhash64("query_id"), "blocks").cast("int")).drop("first", "blocks")
 
     def run(wanted: DataFrame, rest: bool) -> DataFrame:
-        asked = wanted.mapInPandas(visits(rest), shape).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        held = split.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(_searcher(top, width, k), _HITS)
+        asked = saved(wanted.mapInPandas(visits(rest), shape))
+        visits_of = asked.select("pivot", "annulus", "part", F.col("block").alias("visitor")).distinct()
+        held = split.join(visits_of, ["pivot", "annulus", "part"])
+        return asked.groupBy(*cell).cogroup(held.groupBy("pivot", "annulus", "part", "visitor")).applyInPandas(_searcher(top, width, k), _HITS)
 
     def merged(hits: DataFrame) -> DataFrame:
         """The k best hits of each query, by a fold that never holds more than its own hits: k a cell."""

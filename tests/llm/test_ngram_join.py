@@ -45,6 +45,16 @@ def test_repeated_rows_and_empty(spark, no_documents):
     assert J.jaccard_classes(no_documents).count() == 0
 
 
+def test_rows_of_one_doc_id(spark):
+    """Each text of a doc_id has a result of its own."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    got = sorted(tuple(r)[:4] for r in J.jaccard_classes(spark.createDataFrame([(1, a), (1, b), (2, b), (3, a)], "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 0), (1, 1, 1, 0), (2, 1, 1, 0), (3, 1, 1, 0)]
+
+
 def test_depth_reaches_recall():
-    d = J.prefix_depth(0.8, 0.9995, 24, 8)
+    """Pairs at the threshold need short prefixes, copies long ones; the share found is as asked for."""
+    assert J.prefix_depth({24: 100}) == 8 and J.prefix_depth({}) == 8
+    d = J.prefix_depth({4: 10_000}, 0.8, 0.9995, 24, 8)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+    assert d < J.prefix_depth({4: 10, 24: 10_000}, 0.8, 0.9995, 24, 8)

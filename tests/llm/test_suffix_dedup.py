@@ -44,13 +44,19 @@ def test_overlaps_periods_and_shared_passages(spark):
 
 
 def test_repeated_rows_and_null_ids(spark):
-    t = "".join(random.Random(9).choice("abcdef") for _ in range(300))
+    rng = random.Random(9)
+    t = "".join(rng.choice("abcdef") for _ in range(300))
     df = spark.createDataFrame([(1, t), (1, t), (None, t), (2, t + "zz")], "doc_id long, text string")
     rows = S.deduplicated(df).collect()
     assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in rows) == [(-1, 0), (1, 0), (1, 0), (2, 300)]
     assert {bytes(r["kept"]) for r in rows if r["doc_id"] == 2} == {b"zz"}
 
 
+def test_text_of_one_letter(spark):
+    df = spark.createDataFrame([(1, "d" * 300)], "doc_id long, text string")
+    assert [(r["n_removed"], r["n_spans"]) for r in S.deduplicated(df).collect()] == [(299, 1)]
+
+
 def test_pieces_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(S, "PIECE", 1000)
     rng = random.Random(2)
