@@ -37,13 +37,21 @@ NON_WORD = (
     ("T_URI", r"\b(?:shttp|https|http|ftp|mailto)://[-~?\[\]()&@+0-9A-Za-z_.:/$#]+[0-9A-Za-z_]", "http://www.example.com"),
 )
 
-#: Negated and clitic forms that do not split by rule (fixed values), then the rules for the rest.
+#: Contracted forms that are spelt out as a whole (fixed values).
 IRREGULAR = {
-    "won't": "will not", "can't": "can not", "cannot": "can not", "shan't": "shall not", "ain't": "is not", "let's": "let us",
-    "'tis": "it is", "'twas": "it was", "gonna": "going to", "wanna": "want to", "gotta": "got to", "gimme": "give me", "lemme": "let me",
-    "d'ye": "do you", "y'all": "you all", "o'clock": "of the clock", "ma'am": "madam",
+    "i'm": "I am", "y'all": "you all", "y'know": "you know", "it's": "it is", "'tis": "it is", "g'ahn": "go on", "let's": "let us",
+    "let'r": "let her", "let'm": "let them", "c'mon": "come on", "coulda": "could have", "woulda": "would have", "shoulda": "should have",
+    "musta": "must have", "oughta": "ought to", "hafta": "have to", "howda": "how do", "whaddya": "what do you", "willya": "will you",
+    "gonna": "going to", "gotta": "got to", "wanna": "want to", "wanta": "want to", "cannot": "can not", "lookit": "look at",
+    "lemme": "let me", "gimme": "give me", "ahm": "I am", "tain't": "it is not", "ain't": "is not", "can't": "can not", "won't": "will not",
+    "'twas": "it was", "shan't": "shall not", "d'ye": "do you", "o'clock": "of the clock", "ma'am": "madam",
 }
-REGULAR = (("n't", " not"), ("'ll", " will"), ("'re", " are"), ("'ve", " have"), ("'m", " am"), ("'d", " would"))
+#: Endings that are spelt out behind any word, and those behind question words only (fixed values).
+REGULAR = {"n't": "not", "'ve": "have", "'ll": "will", "'n": "than", "'re": "are", "'m": "am", "'d": "would"}
+QUESTION_WORDS = ("who", "where", "what", "when", "why", "how")
+QUESTION_REGULAR = {"'s": "is"}
+#: Words before a period that ends no sentence (fixed values).
+TITLES = ("Mr", "Dr", "Mrs", "Ms", "Messr", "Messrs", "Rev", "Fr", "St", "Pres", "Gen", "Cpl")
 
 
 @dataclass
@@ -148,11 +156,24 @@ def non_word_counts(x: Column) -> dict[str, Column]:
 
 
 def expand_contractions(x: Column) -> Column:
-    for short, full in IRREGULAR.items():
-        x = F.regexp_replace(x, rf"(?i)(?<![\p{{L}}']){short}(?![\p{{L}}'])", full)
-    for clitic, full in REGULAR:
-        x = F.regexp_replace(x, rf"(?i)(?<=[\p{{L}}]){clitic}(?![\p{{L}}])", full)
-    return x
+    """Contracted forms spelt out. Texts are cut at white space once, and only words that may be contracted are looked at further."""
+    whole = F.create_map(*[F.lit(v) for pair in IRREGULAR.items() for v in pair])
+    endings = "|".join(sorted((*REGULAR, *QUESTION_REGULAR), key=len, reverse=True))
+    ending_of = F.create_map(*[F.lit(v) for pair in (REGULAR | QUESTION_REGULAR).items() for v in pair])
+    bare = r"^[^\p{L}\p{N}']*|[^\p{L}\p{N}]*$"
+    likely = r"(?i)['’]|[a-z](?:a|not|it|me|m)[^\p{L}\p{N}]*$"
+
+    def spelt(w: Column) -> Column:
+        plain = F.lower(F.replace(F.regexp_replace(w, bare, ""), F.lit("’"), F.lit("'")))
+        full = F.try_element_at(whole, plain)
+        core = rf"(?i)^([^\p{{L}}\p{{N}}']*)[\p{{L}}\p{{N}}'’]+?([^\p{{L}}\p{{N}}]*)$"
+        stem, ending = F.regexp_extract(plain, rf"^(.*[\p{{L}}])({endings})$", 1), F.regexp_extract(plain, rf"^(.*[\p{{L}}])({endings})$", 2)
+        asked = ~ending.isin(*QUESTION_REGULAR) | stem.isin(*QUESTION_WORDS)
+        cut = F.concat(F.regexp_replace(w, rf"(?i)(?<=[\p{{L}}])(?:{endings.replace(chr(39), "['’]")})([^\p{{L}}\p{{N}}]*)$", ""), F.lit(" "), F.try_element_at(ending_of, ending), F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1))
+        return F.when(full.isNotNull(), F.concat(F.regexp_extract(w, core, 1), full, F.regexp_extract(w, core, 2))).when((ending != "") & asked, cut).otherwise(w)
+
+    words = F.transform(F.split(x, r"(?<=\s)(?=\S)"), lambda w: F.when(w.rlike(r"['’]|(?i)[a-z](?:a|not|it|me|m)\W*\s*$"), F.concat(spelt(F.regexp_extract(w, r"^(\S*)", 1)), F.regexp_extract(w, r"(\s*)$", 1))).otherwise(w))
+    return F.when(x.rlike(likely.replace("$", r"(?:\s|$)")), F.array_join(words, "")).otherwise(x)
 
 
 def split_tokens(x: Column, o: TokenOptions) -> Column:
@@ -165,7 +186,8 @@ def split_tokens(x: Column, o: TokenOptions) -> Column:
     x = F.regexp_replace(x, r"(?<=[\p{L}\p{N}])-(?=[\p{L}\p{N}])", " - ") if o.split_hyphens else x
     x = expand_contractions(x) if o.contractions else x
     x = F.regexp_replace(x, r"(?<=[\p{L}\p{N}])['’]s\b", " 's") if o.genitive else x
-    x = F.regexp_replace(x, r"(?<=[\p{Ll}\p{N}])\.\s+(?=\p{Lu})", " . ")
+    # neither a title nor a single letter ends a sentence
+    x = F.regexp_replace(x, rf"(?<=[\p{{Ll}}\p{{N}}])(?<!\b\p{{L}})(?<!\b(?:{'|'.join(TITLES)}))\.\s+(?=\p{{Lu}})", " . ")
     x = F.regexp_replace(x, r"(?<=^|\s)([\p{P}&&[^-_@#'’.]])(?=[\p{L}\p{N}])", "$1 ")
     x = F.regexp_replace(x, r"(?<=[\p{L}\p{N}\p{P}])([,;:!?)\]}\"”»]|\.(?=\s*$))(?=\s|$)", " $1")
     return F.split(x, r"\s+")

@@ -329,3 +329,25 @@ def balanced_scan(spark, sf_dir):
 
     rows = balanced_records(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), text.alias("value")), openers="(", closers=")")
     return rows.select(F.col("src").cast("long").alias("o_orderkey"), F.regexp_extract("value", r"\((k\d)\)", 1).alias("k"), F.regexp_extract("value", r"(\d)\)$", 1).cast("long").alias("v"))
+
+
+# --- every text of documents, written as a record of a syntax and read again ----------
+
+
+def _text_round_trip(fmt, head="", tail="", **options):
+    def plan(spark, sf_dir):
+        df = table(spark, sf_dir, "documents").select("doc_id", "text")
+        written = df.select(F.col("doc_id").cast("string").alias("src"), F.concat(F.lit(head), sinks.record(df, fmt, ["doc_id", "text"], **options), F.lit(tail)).alias("value"))
+        names = {} if fmt == "xsv" else {"field_names": ["Id", "text"] if fmt == "manchester" else ["doc_id", "text"]}
+        rows = readers.parse_table(written, fmt, **options, **names)
+        return rows.select(F.col("src").cast("long").alias("doc_id"), "text")
+
+    plan.__name__ = f"text_through_{fmt}"
+    query("SELECT doc_id, text FROM documents")(plan)
+
+
+for _fmt, _around in (
+    ("csv", {"escape": "\\", "header": False, "comment": ""}), ("json", {}), ("manchester", {}), ("perl", {"head": "my @x = (\n", "tail": "\n);"}), ("sexp", {}),
+    ("xsv", {"head": '<Xsv>\n<Head doc_id="" text="">\n', "tail": "\n</Head>\n</Xsv>"}),
+):
+    _text_round_trip(_fmt, **_around)

@@ -55,17 +55,30 @@ def fold_dashes_quotes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.simplify(F.col("text"), accents="keep", ligatures=False).alias("folded"))
 
 
-@query()
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def strip_accents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", udfs.stripped_marks(F.col("text")).alias("plain"))
 
 
-@query()
+def _nested(start: str, steps: list[str]) -> str:
+    """One SQL call around another."""
+    for step in steps:
+        start = step.format(start)
+    return start
+
+
+_PAIRS = [f"replace({{}}, '{whole}', '{parts}')" for whole, parts in tokens.LETTER_PAIRS.items()]
+_MARKS = [f"regexp_replace({{}}, '{p}', '{r}', 'g')" for p, r in ((r"\p{{Pd}}", "-"), ("[‘’‚‛‹›]", "''"), (r"[\p{{Pi}}\p{{Pf}}„‟]", '"'), (r"\p{{Z}}", " "))]
+#: Letters and digits whose runs the SQL shortens one after another; it has no references back.
+_RUNS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_áéíóúñäöüßçèêàùâîôûëïœæÁÉÍÓÚÑÄÖÜÇÈÊÀ"
+
+
+@query(f"SELECT doc_id, {_nested('strip_accents(text)', _PAIRS + _MARKS)} AS plain FROM documents")
 def simplify_unicode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.simplify(F.col("text")).alias("plain"))
 
 
-@query()
+@query(f"SELECT doc_id, {_nested('text', [f"regexp_replace({{}}, '{c}{{{{3,}}}}', '{c}{c}', 'g')" for c in _RUNS] + [r"regexp_replace({}, '[ \t\n\r\f\v]{{2,}}', ' ', 'g')"])} AS short FROM documents")
 def shorten_runs(spark, sf_dir):
     o = tokens.TokenOptions(n_char=2, n_space=2)
     return table(spark, sf_dir, "documents").select("doc_id", tokens.shorten(F.col("text"), o).alias("short"))

@@ -13,29 +13,33 @@ def _nodes(spark, sf_dir):
     return tree.shred(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+#: In SQL, pages without what is in their scripts and styles, and the texts between tags with the five names and numbers decoded.
+_BARE = "SELECT page_id, regexp_replace(regexp_replace(html, '(?s)(<script\\b[^>]*>).*?</script>', '\\1', 'g'), '(?s)(<style\\b[^>]*>).*?</style>', '\\1', 'g') AS html FROM pages"
+
+
+@query(r"SELECT page_id, replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages")
 def html_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """The text under each page's title element."""
+    texts = _nodes(spark, sf_dir).filter("kind = 'text' and path rlike '(^|/)title/#text$'")
+    return texts.select(F.col("doc_id").alias("page_id"), F.col("text").alias("title"))
 
 
 @query(r"SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages")
 def link_extract(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("link"))
+    links = F.element_at("attrs", F.lit("href"))
+    return _nodes(spark, sf_dir).filter(tree.matches("*", "href")).select(F.col("doc_id").alias("page_id"), links.alias("link"))
 
 
-@query(r"""
-SELECT tag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM (SELECT regexp_replace(html, '(?s)<script\b.*?</script>', '<script>', 'g') AS html FROM pages)) GROUP BY tag
-""")
+@query(f"SELECT tag, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS tag FROM ({_BARE})) GROUP BY tag")
 def tag_counts(spark, sf_dir):
-    plain = F.regexp_replace("html", r"(?s)<script\b.*?</script>", "<script>")
-    tags = table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all(plain, F.lit("<([A-Za-z][A-Za-z0-9]*)"), 1)).alias("t"))
-    return tags.groupBy(F.lower("t").alias("tag")).agg(F.count("*").alias("n"))
+    return _nodes(spark, sf_dir).filter("kind = 'element'").groupBy(F.col("name").alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>', '', 'g'), '(?s)<style\b.*?</style>', '', 'g') AS clean FROM pages")
+@query(f"SELECT page_id, (len(regexp_extract_all(html, '<[A-Za-z]')) - len(regexp_extract_all(html, '<(script|style)\\b')))::BIGINT AS elements FROM ({_BARE})")
 def remove_scripts(spark, sf_dir):
-    clean = F.regexp_replace(F.regexp_replace("html", r"(?s)<script\b.*?</script>", ""), r"(?s)<style\b.*?</style>", "")
-    return table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"))
+    """Elements left when scripts and styles are gone."""
+    left = tree.without_elements(tree.without_elements(_nodes(spark, sf_dir), "script"), "style").filter("kind = 'element'")
+    return left.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("elements"))
 
 
 @query(r"SELECT page_id AS doc_id, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS lang FROM pages")
@@ -45,13 +49,38 @@ def inherited_language(spark, sf_dir):
     return nodes.filter("name = 'title' and kind = 'element'").select("doc_id", F.col("found").alias("lang"))
 
 
-@query()
+#: Facts of a page by regular expressions: items, inner paragraphs, whether the title has text, pieces of text between tags.
+_FACTS = f"""
+SELECT page_id, len(regexp_extract_all(html, '<li>')) AS items, len(regexp_extract_all(html, '<p>')) - 1 AS inner_p, len(regexp_extract_all(html, '<b>')) AS bolds, len(regexp_extract_all(html, '<br>')) AS breaks, (html LIKE '%<title></title>%')::INT AS untitled,
+  string_split_regex(html, '(?s)<!--.*?-->|<[^>]*>') AS pieces, html,
+  len(regexp_extract_all(html, '<[A-Za-z]')) AS elements, len(regexp_extract_all(html, '<!--')) AS comments, len(regexp_extract_all(html, '<(script|style)\\b')) AS programs FROM ({_BARE})
+"""
+#: Elements of the template as (parent's path, name, how many on a page).
+_TEMPLATE = (
+    ("", "html", "1"), ("html/", "head", "1"), ("html/head/", "meta", "1"), ("html/head/", "title", "1"), ("html/head/", "style", "1"), ("html/head/", "script", "1"), ("html/", "body", "1"),
+    ("html/body/", "nav", "1"), ("html/body/nav/", "ul", "1"), ("html/body/nav/ul/", "li", "items"), ("html/body/nav/ul/li/", "a", "items"), ("html/body/", "div", "1"), ("html/body/", "article", "1"),
+    ("html/body/article/", "h1", "1"), ("html/body/article/", "p", "1"), ("html/body/article/p/", "b", "bolds"), ("html/body/article/p/b/", "br", "breaks"), ("html/body/article/p/b/", "p", "inner_p"), ("html/body/", "footer", "1"),
+)
+_PATHS = " UNION ALL ".join(f"SELECT '{p}{n}' AS path, sum({k})::BIGINT AS n FROM ({_FACTS})" for p, n, k in _TEMPLATE if "article/" not in p or n == "h1")
+#: Bold elements are never closed, so what follows lies in them: the path of a paragraph has as many steps b/p as bold elements before it.
+_DEEP = f"""
+SELECT 'html/body/article/p' || repeat('/b/p', open::INT - (tag = 'br')::INT) || CASE tag WHEN 'p' THEN '' WHEN 'b' THEN '/b' ELSE '/b/br' END AS path, count(*) AS n FROM (
+  SELECT tag, coalesce(sum((tag = 'b')::INT) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open FROM (
+    SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS k FROM (SELECT page_id, regexp_extract_all(html, '<(p|br|b)>', 1) AS tags FROM ({_BARE})))) GROUP BY 1
+"""
+_PAIRS = " UNION ALL ".join(f"SELECT '{p.split('/')[-2]}' AS parent, '{n}' AS child, {k} AS k FROM ({_FACTS})" for p, n, k in _TEMPLATE if p)
+
+
+@query(f"SELECT path, n, len(string_split(path, '/')) AS depth FROM ({_PATHS} UNION ALL {_DEEP}) WHERE n > 0")
 def tree_depth_paths(spark, sf_dir):
     nodes = _nodes(spark, sf_dir).filter("kind = 'element'")
     return nodes.groupBy("path").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
 
 
-@query()
+@query(f"""
+SELECT page_id AS doc_id, 13 - untitled + 3 * k AS from_pre, 12 - untitled AS list, CASE WHEN k + 1 < items THEN 16 - untitled + 3 * k END AS next_item
+FROM (SELECT *, unnest(range(items)) AS k FROM ({_FACTS}))
+""")
 def tree_axes(spark, sf_dir):
     """The second list item after each first one, and each item's nearest list."""
     nodes = _nodes(spark, sf_dir)
@@ -61,31 +90,53 @@ def tree_axes(spark, sf_dir):
     return above.join(after, ["doc_id", "from_pre"], "left")
 
 
-@query()
+@query(f"""
+SELECT page_id AS doc_id, replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(pieces, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), ' '),
+  '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS content FROM ({_FACTS})
+""")
 def tree_text(spark, sf_dir):
     return tree.collected_text(tree.without_blank_texts(tree.normalized_texts(_nodes(spark, sf_dir))), " ")
 
 
+@query(r"SELECT page_id AS doc_id, regexp_extract(html, '(?s)<nav>.*?</nav>') AS markup FROM pages")
+def tree_serialize_nav(spark, sf_dir):
+    """The navigation of each page, cut out of the tree and written again."""
+    return tree.serialized(_nodes(spark, sf_dir).filter("path rlike '^html/body/nav(/|$)'"))
+
+
+@query(r"SELECT page_id AS doc_id, regexp_replace(replace(regexp_extract(html, '(?s)<nav>.*?</nav>'), '<ul>', '<menu><ul>'), '</ul>', '</ul></menu><hr></hr>') AS markup FROM pages")
+def tree_edited_nav(spark, sf_dir):
+    """Lists wrapped in a menu, and a rule after each menu: the edits keep a tree."""
+    nodes = _nodes(spark, sf_dir).filter("path rlike '^html/body/nav(/|$)'")
+    wrapped = tree.wrapped_in_parent(nodes, F.col("name") == "ul", "menu")
+    return tree.serialized(tree.inserted_sibling(wrapped, F.col("name") == "menu", "hr"))
+
+
 @query()
 def tree_serialize(spark, sf_dir):
     return tree.serialized(_nodes(spark, sf_dir))
 
 
-@query()
+@query(f"""
+SELECT page_id AS doc_id, elements, len(list_filter(pieces, lambda p: regexp_matches(p, '\\S'))) + programs AS texts, len(list_filter(pieces, lambda p: p <> '' AND NOT regexp_matches(p, '\\S'))) AS blanks,
+  0::BIGINT AS instructions, comments FROM ({_FACTS})
+""")
 def tree_structure_counts(spark, sf_dir):
     return stats.structure_counts(_nodes(spark, sf_dir), ["doc_id"])
 
 
-@query()
+@query(f"SELECT page_id AS doc_id, elements + comments + 1 + programs + len(list_filter(pieces, lambda p: p <> '')) - 1 AS n, items, items AS raised FROM ({_FACTS})")
 def tree_untag(spark, sf_dir):
-    return tree.untagged(_nodes(spark, sf_dir), "ul").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    """Nodes left without the list elements, their items, and how many of those stand right under the navigation."""
+    flat = tree.untagged(_nodes(spark, sf_dir), "ul").groupBy("doc_id")
+    return flat.agg(F.count("*").alias("n"), F.count_if(F.col("name") == "li").alias("items"), F.count_if(F.expr("name = 'li' and depth = 4 and path = 'html/body/nav/li'")).alias("raised"))
 
 
-@query()
+@query(f"SELECT parent, child, sum(k)::BIGINT AS n FROM ({_PAIRS}) GROUP BY parent, child HAVING sum(k) > 0")
 def tree_nestings(spark, sf_dir):
     return tree.nestings(_nodes(spark, sf_dir)).groupBy("parent", "child").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT page_id AS doc_id, 'ad' AS value, 14 - untitled + 3 * items AS pre FROM ({_FACTS})")
 def tree_attribute_index(spark, sf_dir):
     return tree.attribute_index(_nodes(spark, sf_dir), "class")

@@ -24,7 +24,7 @@ OPTIONS: dict[str, Option] = {
     "quote": Option('"', str, "around fields"),
     "escape": Option("", str, "before special characters; empty: quotes are doubled"),
     "qdouble": Option(True, bool, "a doubled quote stands for one"),
-    "nl_in_quotes": Option(False, bool, "records may go over lines"),
+    "nl_in_quotes": Option(True, bool, "records may go over lines"),
     "strip_fields": Option(True, bool, "white space off both ends of fields"),
     "strip_records": Option(False, bool, "white space off both ends of records"),
     "comment": Option("", str, "records that start with this are skipped"),

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html
 import re
+from html.entities import name2codepoint
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -301,9 +302,21 @@ def read_perl(df: DataFrame, o: dict[str, Any]) -> DataFrame:
 
 
 def _decoded(x: Column) -> Column:
-    from quillframe.functions.udfs import unescape_entities
+    """Character references and the entity names of HTML 4 decoded; texts without an ampersand are left alone, unknown names stay."""
+    names = F.create_map(*[F.lit(v) for name, point in sorted(name2codepoint.items()) for v in (name, chr(point))], F.lit("apos"), F.lit("'"))
+    pieces = F.regexp_extract_all(x, F.lit(r"(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&)"), F.lit(1))
+    point = lambda digits: F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        body = F.substr(p, F.lit(2), F.length(p) - 2)
+        return (
+            F.when(~p.startswith("&") | (p == "&"), p)
+            .when(body.rlike("^#[0-9]"), point(F.conv(F.substr(body, F.lit(2)), 10, 16)))
+            .when(body.rlike("^#"), point(F.substr(body, F.lit(3))))
+            .otherwise(F.coalesce(F.try_element_at(names, body), p))
+        )
 
-    return unescape_entities(x)
+    return F.when(F.instr(x, "&") > 0, F.array_join(F.transform(pieces, piece), "")).otherwise(x)
 
 
 def read_xml(df: DataFrame, o: dict[str, Any]) -> DataFrame:

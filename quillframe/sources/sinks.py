@@ -29,17 +29,14 @@ def _concat(parts: list[Column], sep: str = "") -> Column:
 
 
 def csv_field(x: Column, o: dict[str, Any]) -> Column:
-    """Quotes doubled or escaped; line breaks kept if ``nl_in_quotes``, else escaped, or spaces without an escape character, so that a record stays a line."""
+    """Quotes doubled or escaped; line breaks are escaped where there is an escape character and ``nl_in_quotes`` is off, else they stay within quotes."""
     q, e = o["quote"], o["escape"]
     special = x.contains(o["field_sep"]) | x.rlike(r"[\r\n]") | (x.contains(q) if q else F.lit(False)) | x.rlike(r"^\s|\s$")
     body = x
     if e:
         body = F.replace(body, F.lit(e), F.lit(e + e))
         body = F.replace(body, F.lit(q), F.lit(e + q)) if q else F.replace(body, F.lit(o["field_sep"]), F.lit(e + o["field_sep"]))
-    if not o["nl_in_quotes"]:
-        body = F.replace(F.replace(body, F.lit("\n"), F.lit(e + "n")), F.lit("\r"), F.lit(e + "r")) if e else F.regexp_replace(body, r"\r\n?|\n", " ")
-    if e:
-        pass
+        body = body if o["nl_in_quotes"] else F.replace(F.replace(body, F.lit("\n"), F.lit(e + "n")), F.lit("\r"), F.lit(e + "r"))
     elif o["qdouble"]:
         body = F.replace(body, F.lit(q), F.lit(q + q))
     else:

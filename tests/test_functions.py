@@ -99,3 +99,36 @@ def test_schema(spark):
         s.set_position("c", 5, 3)
     assert schema.header_names(["a b", "", "9x", "ok"]) == ["a_b", "F_2", "A_9x", "ok"]
     assert s.get(5, create=True).name == "F_5"
+
+
+def test_contractions(spark):
+    from quillframe.operators import tokens
+
+    cases = {
+        "it's coulda who's c'mon": "it is could have who is come on", "I'm sure, we've won't; they'll!": "I am sure, we have will not; they will!",
+        "John's book isn't “gonna” (can't)": "John's book is not “going to” (can not)", "What'd you say? 'Tis  whaddya": "what would you say? it is  what do you", "plain text": "plain text", "": "",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", tokens.expand_contractions(F.col("t")).alias("x")).collect()
+    assert {r["t"].lower(): r["x"].lower() for r in rows} == {k.lower(): v.lower() for k, v in cases.items()}
+
+
+def test_sentence_ends(spark):
+    from quillframe.operators import tokens
+
+    text = "Dr. Smith met J. Doe. They left in May. Now"
+    got = spark.createDataFrame([(text,)], "t string").select(tokens.tokenize(F.col("t"))).first()[0]
+    assert got == "Dr. Smith met J. Doe . They left in May . Now".split()
+
+
+def test_ranges_of_text_and_dates(spark):
+    """Record numbers over keys of any ordered type, without a single range."""
+    import datetime
+
+    from quillframe.operators import records
+
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(days=k * 7 % 400) for k in range(400)]
+    df = spark.createDataFrame([(f"k{k * 37 % 400:04}", days[k]) for k in range(400)] + [(None, None)], "k string, d date")
+    for column in ("k", "d"):
+        rows = records.numbered(df.filter(f"{column} is not null"), [column]).select(column, "rec_no").collect()
+        assert [r["rec_no"] for r in sorted(rows)] == list(range(1, 401))
+        assert len(records._cuts(df, column, 4)) == 3

@@ -109,3 +109,30 @@ def test_conversion(spark, a, b):
     table = read(spark, a, written(spark, a)).select("rec_no", *NAMES)
     text = sinks.assembled(table, b, "rec_no").first()[0]
     assert [tuple(r) for r in read(spark, b, text).orderBy("rec_no").select(*NAMES).collect()] == SIGNERS
+
+
+def test_csv_escape_decoding(spark):
+    """Letters, octal, hexadecimal and code points behind the escape character, in quotes and out of them."""
+    text = 'v,w\na\\tb\\n,"q\\"\\\\\\101\\x42\\x{43}\\u0044\\U00000045\\,z"\n'
+    rows = readers.read_table(spark, "csv", text, path=False, escape="\\").collect()
+    assert [(r["v"], r["w"]) for r in rows] == [("a\tb\n", 'q"\\ABCDE,z')]
+
+
+@pytest.mark.parametrize("options", [{"escape": "\\"}, {"escape": "\\", "nl_in_quotes": False}, {}, {"escape": "~"}])
+def test_csv_hostile_values(spark, options):
+    values = ["a\\b", 'say "x"', "line\nbreak", "a,b", "", "~tilde~", "tab\there", "\\", 'end"', "n\\n", "x\r\ny" if options.get("escape") else "plain", " padded "]
+    df = spark.createDataFrame([(k, v, "z") for k, v in enumerate(values)], "rec_no long, v string, w string")
+    from quillframe.sources import sinks
+
+    doc = sinks.assembled(df, "csv", "rec_no", **options).select(sinks.F.lit("s").alias("src"), "value")
+    got = [r["v"] for r in readers.parse_table(doc, "csv", **options).orderBy("rec_no").collect()]
+    assert got == [v.replace("\r\n", "\n") if options.get("nl_in_quotes", True) else v for v in values]
+
+
+@pytest.mark.parametrize(("fmt", "text", "field", "want"), [
+    ("mime", "To: a\nReceived: 1\nReceived: 2\n", "Received", "2"), ("xml", "<table><tr><td>1</td><td>2</td></tr></table>", "td", "2"),
+    ("perl", 'my @x = ( { "a" => 1, "a" => 2 }, );', "a", "2"), ("sexp", '(SEXP (tr (a "1") (a "2")))', "a", "2"),
+    ("manchester", 'Individual: i\n    Facts: a 1,\n        a "say \\"2\\""\n', "a", 'say "2"'), ("xsv", '<Xsv><Head a=""><Rec a="1" a="2" /></Head></Xsv>', "a", "2"),
+])
+def test_repeated_names_last_counts(spark, fmt, text, field, want):
+    assert [r[field] for r in readers.read_table(spark, fmt, text, path=False).collect()] == [want]

@@ -77,3 +77,29 @@ def test_converter(spark, tmp_path):
     parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
     text = "".join(p.read_text() for p in parts)
     assert '<Rec k="x" v="1" />\n<Rec k="y" v="2" />' in text and text.startswith("<Xsv>") and text.rstrip().endswith("</Xsv>")
+
+
+def test_edits_keep_a_tree(spark):
+    """Inserted and wrapped nodes serialize where they belong, in every document, with numbers of their own."""
+    page = "<a><b>x</b><c lang='fr'><b>y</b></c></a>"
+    nodes = tree.shred(spark.createDataFrame([(1, page), (2, "<b>z</b>")], "id long, html string"), "id", "html")
+    plain = {1: "<a><b>x</b><c lang=\"fr\"><b>y</b></c></a>", 2: "<b>z</b>"}
+    shown = lambda df: {r["doc_id"]: r["markup"] for r in tree.serialized(df).collect()}
+    assert shown(tree.inserted_sibling(nodes, F.col("name") == "b", "z")) == {1: '<a><b>x</b><z></z><c lang="fr"><b>y</b><z></z></c></a>', 2: "<b>z</b><z></z>"}
+    assert shown(tree.inserted_sibling(nodes, F.col("name") == "c", "z", after=False)) == {1: '<a><b>x</b><z></z><c lang="fr"><b>y</b></c></a>', 2: plain[2]}
+    wrapped = tree.wrapped_in_parent(nodes, F.col("name").isin("b", "c"), "w")
+    assert shown(wrapped) == {1: '<a><w><b>x</b></w><w><c lang="fr"><w><b>y</b></w></c></w></a>', 2: "<w><b>z</b></w>"}
+    rows = wrapped.filter("doc_id = 1").collect()
+    assert sorted(r["pre"] for r in rows) == sorted(r["post"] for r in rows) == list(range(len(rows)))
+    by = {r["pointer"]: r for r in rows}
+    assert (by["1/2/1/1/1"]["path"], by["1/2/1/1/1"]["lang"], by["1/2/1/1/1"]["depth"]) == ("a/w/c/w/b", "fr", 5)
+    assert by["1/2/1/1"]["parent"] == by["1/2/1"]["pre"] and by["1"]["parent"] is None
+    again = tree.renumbered(tree._placed(nodes))
+    key = ["doc_id", "pre", "post", "parent", "depth", "sib_no", "path", "pointer", "lang"]
+    assert sorted(map(str, again.select(*key).collect())) == sorted(map(str, nodes.select(*key).collect()))
+
+
+def test_programs_are_not_escaped(spark):
+    page = "<p>1 &lt; 2</p><script>if (a < b && c) x();</script><style>p > b {}</style>"
+    nodes = tree.shred(spark.createDataFrame([(1, page)], "id long, html string"), "id", "html")
+    assert names(tree.serialized(nodes).select("markup")) == [(page,)]
