@@ -161,7 +161,6 @@ def expand_contractions(x: Column) -> Column:
     endings = "|".join(sorted((*REGULAR, *QUESTION_REGULAR), key=len, reverse=True))
     ending_of = F.create_map(*[F.lit(v) for pair in (REGULAR | QUESTION_REGULAR).items() for v in pair])
     bare = r"^[^\p{L}\p{N}']*|[^\p{L}\p{N}]*$"
-    likely = r"(?i)['’]|[a-z](?:a|not|it|me|m)[^\p{L}\p{N}]*$"
 
     def spelt(w: Column) -> Column:
         plain = F.lower(F.replace(F.regexp_replace(w, bare, ""), F.lit("’"), F.lit("'")))
@@ -172,8 +171,9 @@ def expand_contractions(x: Column) -> Column:
         cut = F.concat(F.regexp_replace(w, rf"(?i)(?<=[\p{{L}}])(?:{endings.replace(chr(39), "['’]")})([^\p{{L}}\p{{N}}]*)$", ""), F.lit(" "), F.try_element_at(ending_of, ending), F.regexp_extract(w, r"([^\p{L}\p{N}]*)$", 1))
         return F.when(full.isNotNull(), F.concat(F.regexp_extract(w, core, 1), full, F.regexp_extract(w, core, 2))).when((ending != "") & asked, cut).otherwise(w)
 
-    words = F.transform(F.split(x, r"(?<=\s)(?=\S)"), lambda w: F.when(w.rlike(r"['’]|(?i)[a-z](?:a|not|it|me|m)\W*\s*$"), F.concat(spelt(F.regexp_extract(w, r"^(\S*)", 1)), F.regexp_extract(w, r"(\s*)$", 1))).otherwise(w))
-    return F.when(x.rlike(likely.replace("$", r"(?:\s|$)")), F.array_join(words, "")).otherwise(x)
+    plain_forms = "|".join(k for k in IRREGULAR if "'" not in k)
+    likely = rf"['’]|(?i)^\W*(?:{plain_forms})\W*$"
+    return F.array_join(F.transform(F.split(x, r"(?<=\s)(?=\S)"), lambda w: F.when(w.rlike(likely), F.concat(spelt(F.regexp_extract(w, r"^(\S*)", 1)), F.regexp_extract(w, r"(\s*)$", 1))).otherwise(w)), "")
 
 
 def split_tokens(x: Column, o: TokenOptions) -> Column:
