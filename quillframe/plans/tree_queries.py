@@ -36,12 +36,19 @@ def tag_counts(spark, sf_dir):
 
 
 @query(f"SELECT page_id, (len(regexp_extract_all(html, '<[A-Za-z]')) - len(regexp_extract_all(html, '<(script|style)\\b')))::BIGINT AS elements FROM ({_BARE})")
-def remove_scripts(spark, sf_dir):
+def elements_without_scripts(spark, sf_dir):
     """Elements left when scripts and styles are gone."""
     left = tree.without_elements(tree.without_elements(_nodes(spark, sf_dir), "script"), "style").filter("kind = 'element'")
     return left.groupBy(F.col("doc_id").alias("page_id")).agg(F.count("*").alias("elements"))
 
 
+@query(r"SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>', '', 'g'), '(?s)<style\b.*?</style>', '', 'g') AS clean FROM pages")
+def remove_scripts(spark, sf_dir):
+    """Markup without scripts and styles, by patterns over the text alone."""
+    clean = F.regexp_replace(F.regexp_replace("html", r"(?s)<script\b.*?</script>", ""), r"(?s)<style\b.*?</style>", "")
+    return table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"))
+
+
 @query(r"SELECT page_id AS doc_id, regexp_extract(html, '<html[^>]* lang=\"([^\"]*)\"', 1) AS lang FROM pages")
 def inherited_language(spark, sf_dir):
     """The language that the title inherits from the root."""
