@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: Has Spark delete a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +33,18 @@ def saved(frame: DataFrame) -> DataFrame:
     """Cuts lineage: writes the frame to the shared folder as Parquet and reads it back.
 
     Every executor can reread the files, so losing one costs nothing that was saved.
+    The shuffle files of the write go when it ends; left to Spark they would lie on the
+    executors' disks until the driver happens to collect its garbage.
     """
-    path = f"{shared_dir(frame.sparkSession)}/quillframe/{uuid.uuid4().hex}"
-    frame.write.option("compression", "zstd").parquet(path)
-    out = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/quillframe/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(frame.schema).parquet(path)
     out._quillframe_path = path
     return out
 

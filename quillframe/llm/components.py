@@ -1,8 +1,8 @@
 """Connected components of a graph given as an edge table, by alternating large-star and small-star rounds.
 
 Each round is two aggregations; rounds are logarithmic in the longest path. Edges are
-written to the shared folder after every round, so a lost executor costs one round, and
-nothing is gathered on the driver but two sums that tell whether anything changed.
+written to the shared folder after every round, in place of the round before, so a lost
+executor costs one round, and nothing is gathered on the driver but two sums that tell whether anything changed.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import saved
+from quillframe.llm.common import discarded, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     state = None
     while True:
-        edges = saved(_small_star(_large_star(edges)))
+        before, edges = edges, saved(_small_star(_large_star(edges)))
+        discarded(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(now) == state:
             break
