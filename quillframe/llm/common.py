@@ -41,7 +41,7 @@ def saved(frame: DataFrame) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        frame.write.option("compression", "zstd").parquet(path)
+        frame.select("*").write.option("compression", "zstd").parquet(path)  # the setting is read where a frame is made
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(frame.schema).parquet(path)
