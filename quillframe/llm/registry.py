@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import byte_pairs, fingerprints, langid, line_dedup, mixing, ngram_join, pieces, preference, secrets, suffix_dedup, topk
+from quillframe.llm import byte_pairs, fingerprints, langid, line_dedup, mixing, ngram_join, periodic_runs, pieces, preference, secrets, suffix_dedup, topk
 
 QUERIES = {
     "op1_preference_pairs": preference.op1_preference_pairs,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_ngram_join": ngram_join.op10_ngram_join,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_byte_pairs": byte_pairs.op12_byte_pairs,
 }
 
