@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillframe.llm import byte_pairs, fingerprints, langid, line_dedup, mixing, ngram_join, periodic_runs, pieces, preference, secrets, suffix_dedup, topk
+from quillframe.llm import byte_pairs, fingerprints, langid, line_dedup, merkle, mixing, ngram_join, periodic_runs, pieces, preference, secrets, suffix_dedup, topk
 
 QUERIES = {
     "op1_preference_pairs": preference.op1_preference_pairs,
@@ -17,9 +17,11 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_byte_pairs": byte_pairs.op12_byte_pairs,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
+    "op13_merkle_manifest": merkle.OP13_SQL,
     "op10_ngram_join": ngram_join.OP10_SQL,
     "op1_preference_pairs": preference.OP1_SQL,
     "op5_exact_top_k": topk.OP5_SQL,
