@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,5 +25,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+_own_dir: list[str] = []
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one in spark.checkpoint.dir; below one of our own only where that is unset (tests, local mode)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="quillframe-"))
+        named = _own_dir[0]
+    return f"{named.rstrip('/')}/quillframe/{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

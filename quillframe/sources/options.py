@@ -29,6 +29,7 @@ OPTIONS: dict[str, Option] = {
     "strip_records": Option(False, bool, "white space off both ends of records"),
     "comment": Option("", str, "records that start with this are skipped"),
     "field_names": Option(None, list, "names, where there is no header"),
+    "one_document": Option(False, bool, "the files of a folder, in order of their names, are one document"),
     "positions": Option(None, list, "start columns, from 0"),
     "default": Option(None, str, "for missing values without a default of their own"),
     "line_length": Option(78, int, "longest line of folded headers"),

@@ -12,16 +12,19 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Callable
+from functools import reduce
 from html.entities import name2codepoint
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.functions import datatypes, scalars
 from quillframe.operators import schema as S
 from quillframe.sources import options as opts
-from quillframe.sources import scanner
+from quillframe.sources import scanner, splits
 
 
 def texts(spark: SparkSession, source: str | list[str], whole: bool, path: bool) -> DataFrame:
@@ -58,9 +61,29 @@ def from_pairs(rows: DataFrame, pairs: Column, names: list[str]) -> DataFrame:
 
 def mapped(entries: Column) -> Column:
     """A map from an array of (name, value) structures; of entries with one name the last counts."""
-    name = lambda e: F.element_at(F.map_values(F.map_from_arrays(F.array(F.lit(0)), F.array(e))), 1)["col1"]
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: name(later) == name(e)))
-    return F.map_from_entries(last)
+    names = F.array_distinct(F.transform(entries, lambda e: e["col1"]))
+    last = F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["col1"] == n), -1))
+    return F.map_from_entries(F.when(F.size(names) == F.size(entries), entries).otherwise(last))
+
+
+def by_header(rows: DataFrame, cells: Column, heads: DataFrame, names_of: Callable[[list[str]], list[str]], given: list[str] | None = None) -> DataFrame:
+    """Cells as columns by the header of their own source, records counted behind it.
+
+    ``heads``: (src, _h, _head), the number of a source's last header record and its cells; a source without one has no
+    records. Sources may name other fields or in another order: columns are all names, as they first appear; a field that
+    a source does not have is null. Names that are ``given`` stand for the cells by position. The driver sees each
+    different header once.
+    """
+    kinds = [r["_head"] for r in heads.groupBy("_head").agg(F.min("src").alias("_first")).orderBy("_first").collect()]
+    lists = [given or names_of(k) for k in kinds]
+    names = list(dict.fromkeys(n for names in lists for n in names))
+    rows = rows.join(heads, "src").filter("rec_no > _h").withColumn("rec_no", F.col("rec_no") - F.col("_h"))
+    if len(set(map(tuple, lists))) < 2:
+        return named(rows, cells, names)
+    which = F.coalesce(*[F.when(F.col("_head") == F.array(*map(F.lit, k)), k_no) for k_no, k in enumerate(kinds)])
+    rows = rows.select("src", "rec_no", cells.alias("_c"), which.alias("_k"))
+    place = lambda n: F.get(F.array(*[F.lit(x.index(n) if n in x else -1) for x in lists]), F.col("_k"))
+    return rows.select("src", "rec_no", *[F.get("_c", place(n)).alias(n) for n in names])
 
 
 def discovered(rows: DataFrame, pairs: Column) -> list[str]:
@@ -136,11 +159,13 @@ def csv_records(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     """Logical records of whole texts: lines, or with ``nl_in_quotes`` lines joined until their quotes are even."""
     rows = lines(df, o["strip_records"])
     if o["nl_in_quotes"]:
-        from pyspark.sql import Window as W
-
         odd = (~quotes_balanced(F.col("value"), o["quote"], o["escape"])).cast("int")
         w = W.partitionBy("src").orderBy("rec_no")
-        opened = F.coalesce(F.sum(odd).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) % 2
+        before = w.rowsBetween(W.unboundedPreceding, -1)
+        # behind a comment with an odd quote the state is outside, whatever it was: quotes count from there
+        note = F.col("value").startswith(o["comment"]) if o["comment"] else F.lit(False)
+        rows = rows.withColumns({"_odd": F.sum(odd).over(w), "_reset": note & (odd == 1)})
+        opened = (F.coalesce(F.lag("_odd").over(w), F.lit(0)) - F.coalesce(F.max(F.when(F.col("_reset"), F.col("_odd"))).over(before), F.lit(0))) % 2
         rows = rows.withColumn("_start", (opened == 0).cast("int")).withColumn("_no", F.sum("_start").over(w))
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_no", "value"))), lambda s: s["value"]), "\n")
         rows = rows.groupBy("src", F.col("_no").alias("rec_no")).agg(joined.alias("value"))
@@ -149,17 +174,25 @@ def csv_records(df: DataFrame, o: dict[str, Any]) -> DataFrame:
 
 def read_csv(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     rows = csv_records(df, o)
-    names = o["field_names"]
+    cells = csv_cells(F.col("value"), o)
+    return _csv_fields(rows, o, rows.groupBy("src").agg(F.min("rec_no").alias("_h"), F.min_by(cells, "rec_no").alias("_head")))
+
+
+def csv_files(spark: SparkSession, path: str | list[str], o: dict[str, Any]) -> DataFrame:
+    """The same from files of any size, by blocks."""
+    rows, heads = splits.logical_records(spark, path, o, one_document=o["one_document"])
+    found = spark.createDataFrame([(src, no, text) for src, (no, text) in heads.items()], "src string, _h long, value string")
+    return _csv_fields(real_lines(rows, o["comment"]), o, found.select("src", "_h", csv_cells(F.col("value"), o).alias("_head")))
+
+
+def _csv_fields(rows: DataFrame, o: dict[str, Any], heads: DataFrame) -> DataFrame:
+    cells, names = csv_cells(F.col("value"), o), o["field_names"]
     if o["header"]:
-        first = rows.orderBy("src", "rec_no").limit(1).select(csv_cells(F.col("value"), o).alias("c")).first()
-        if first is None:
-            return rows.select("src", "rec_no")
-        names = names or S.header_names(first["c"])
-        rows = rows.join(rows.groupBy("src").agg(F.min("rec_no").alias("_h")), "src").filter("rec_no > _h").withColumn("rec_no", F.col("rec_no") - F.col("_h")).drop("_h")
+        return by_header(rows, cells, heads, S.header_names, names)
     if not names:
-        widest = rows.agg(F.max(F.size(csv_cells(F.col("value"), o)))).first()[0] or 0
+        widest = rows.agg(F.max(F.size(cells))).first()[0] or 0
         names = [f"F_{k:03d}" for k in range(1, widest + 1)]
-    return named(rows, csv_cells(F.col("value"), o), names)
+    return named(rows, cells, names)
 
 
 #: Candidates in order of preference (fixed values).
@@ -193,7 +226,15 @@ def sniff_format(head: Column, path: Column | None = None) -> Column:
 
 
 def read_columns(df: DataFrame, o: dict[str, Any]) -> DataFrame:
-    rows = real_lines(lines(df), o["comment"])
+    return _fixed_fields(lines(df), o)
+
+
+def columns_files(spark: SparkSession, path: str | list[str], o: dict[str, Any]) -> DataFrame:
+    return _fixed_fields(splits.read_lines(spark, path, o["one_document"]), o)
+
+
+def _fixed_fields(rows: DataFrame, o: dict[str, Any]) -> DataFrame:
+    rows = real_lines(rows, o["comment"])
     layout = S.TableSchema()
     layout.set_positions(o["positions"])
     layout.rename_all(o["field_names"] or [f"F_{k}" for k in range(1, len(layout) + 1)])
@@ -209,26 +250,39 @@ _ARFF = r"(?im)^\s*@ATTRIBUTE\s+('[^']*'|\"[^\"]*\"|\S+)\s+(\{[^}]*\}|\S+)"
 
 
 def read_arff(df: DataFrame, o: dict[str, Any]) -> DataFrame:
-    """Header on the driver, data rows in the plan: dense records, and sparse ones whose missing fields are 0."""
-    head = df.orderBy("src").select(F.regexp_extract("value", r"(?is)^(.*?)^?\s*@DATA\b", 1).alias("h")).first()
-    names = [n.strip("'\"") for n, _ in re.findall(_ARFF, head["h"] if head else "")]
-    rows = lines(df.withColumn("value", F.regexp_replace("value", r"(?is)^.*?@DATA[ \t]*(\r?\n|$)", "")))
+    """Each text's own header on the driver, data rows in the plan: dense records, and sparse ones whose missing fields are 0."""
+    data = r"(?is)^.*?^?\s*@DATA\b[ \t]*(\r?\n|$)"
+    heads = df.select("src", F.lit(0).cast("long").alias("_h"), F.array(F.regexp_extract("value", r"(?is)^(.*?)^?\s*@DATA\b", 1)).alias("_head"))
+    return _arff_fields(lines(df.withColumn("value", F.regexp_replace("value", data, ""))), heads)
+
+
+def arff_files(spark: SparkSession, path: str | list[str], o: dict[str, Any]) -> DataFrame:
+    """The same from files of any size, by blocks."""
+    plain = o | {"nl_in_quotes": False, "comment": "%", "strip_records": False}
+    rows, heads = splits.logical_records(spark, path, plain, r"(?i)\s*@DATA\b", o["one_document"])
+    found = spark.createDataFrame([(src, no, [text]) for src, (no, text) in heads.items()], "src string, _h long, _head array<string>")
+    return _arff_fields(rows, found)
+
+
+def _arff_fields(rows: DataFrame, heads: DataFrame) -> DataFrame:
     rows = real_lines(rows, "%")
     cell = r"\s*('(?:[^'\\]|\\.)*+'|\"(?:[^\"\\]|\\.)*+\"|[^,]*+)\s*(?:,|$)"
 
     def value(c: Column) -> Column:
         bare = F.regexp_replace(scalars.trim(c), r"^(['\"])([\s\S]*)\1$", "$2")
-        return F.when(scalars.trim(c) == "?", F.lit(None)).otherwise(F.regexp_replace(bare, r"\\(.)", "$1"))
+        return F.when(scalars.trim(c) == "?", F.lit(None)).otherwise(unescaped(bare, "\\"))
 
     body = F.regexp_replace(scalars.trim(F.col("value")), r"^\{\s*|\s*\}$", "")
     sparse = F.col("value").rlike(r"^\s*\{")
     entries = F.filter(F.regexp_extract_all(body, F.lit(cell), 1), lambda c: scalars.trim(c) != "")
     index = lambda e: F.regexp_extract(scalars.trim(e), r"^(\d+)\s", 1).cast("int")
     pairs = F.map_from_entries(F.transform(entries, lambda e: F.struct(index(e), value(F.regexp_replace(scalars.trim(e), r"^\d+\s+", "")))))
-    from_sparse = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1))), lambda k: F.when(F.map_contains_key(pairs, k), F.try_element_at(pairs, k)).otherwise(F.lit("0")))
+    fields = F.regexp_count(F.get("_head", F.lit(0)), F.lit(_ARFF))
+    from_sparse = F.transform(F.sequence(F.lit(0), F.greatest(fields - 1, F.lit(0))), lambda k: F.when(F.map_contains_key(pairs, k), F.try_element_at(pairs, k)).otherwise(F.lit("0")))
     dense = F.transform(F.regexp_extract_all(F.col("value"), F.lit(cell), 1), value)
+    names_of = lambda head: [n.strip("'\"") for n, _ in re.findall(_ARFF, head[0] or "")]
     # split by kind: sparse index parsing never sees dense rows
-    return named(rows.filter(~sparse), dense, names).unionByName(named(rows.filter(sparse), from_sparse, names))
+    return by_header(rows.filter(~sparse), dense, heads, names_of).unionByName(by_header(rows.filter(sparse), from_sparse, heads, names_of))
 
 
 # --- whole-text syntaxes -------------------------------------------------------------
@@ -259,14 +313,16 @@ def read_mime(df: DataFrame, o: dict[str, Any]) -> DataFrame:
 
 def read_manchester(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     """Individual frames; each fact ``name value`` is a field, Id is the individual."""
-    clean = F.regexp_replace(F.regexp_replace("value", r"(?m)^\s*#.*$", ""), r"\r\n?", "\n")
+    clean = F.regexp_replace("value", r"(?m)^\s*#.*$", "")
     frames = F.filter(F.split(clean, r"(?m)^(?=\s*(?:Individual|Datatype|Class|ObjectProperty|DataProperty|AnnotationProperty|Prefix|Ontology):)"), lambda f: f.rlike(r"^\s*Individual:"))
     rows = df.select("src", F.posexplode(frames).alias("pos", "value")).select("src", (F.col("pos") + 1).cast("long").alias("rec_no"), "value")
-    name = F.regexp_extract("value", r"Individual:\s*(\S+)", 1)
     facts = F.regexp_extract_all(F.regexp_replace("value", r"(?s)^.*?Facts:", ""), F.lit(r"(\w[-\w.]*\s+(?:\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|[^,\s]+))"), 1)
     has = F.col("value").rlike("Facts:")
     quoted = r"(?s)^([\"'])(.*)\1$"
     value = lambda v: F.when(v.rlike(quoted), F.regexp_replace(F.regexp_replace(v, quoted, "$2"), r"(?s)\\(.)", "$1")).otherwise(v)
+    # an individual without a label is one without a name
+    label = F.regexp_extract("value", r"(?s)Individual:[ \t]*(\"(?:[^\"\\]|\\.)*+\"|\S+)", 1)
+    name = F.when(label != "_:", value(label))
     entries = F.transform(facts, lambda f: F.struct(F.regexp_extract(f, r"^(\S+)", 1), value(F.regexp_extract(f, r"^\S+\s+(?s)(.*)$", 1))))
     kinds = F.regexp_extract("value", r"Types:\s*([^\n]*\S)", 1)
     own = F.array(F.struct(F.lit("Id"), name), F.struct(F.lit("Types"), kinds))
@@ -297,7 +353,8 @@ def read_perl(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     found = F.regexp_extract_all("value", F.lit(rf"({value}\s*=>\s*{value})"), 1)
     strip = lambda a: F.regexp_replace(F.regexp_replace(a, r"^(['\"])([\s\S]*)\1$", "$2"), r"\\(.)", "$1")
     part = lambda p, k: strip(F.regexp_extract(p, rf"^({value})\s*=>\s*({value})$", k))
-    pairs = mapped(F.transform(found, lambda p: F.struct(part(p, 1), part(p, 2))))
+    given = lambda p: F.when(~p.rlike(rf"^{value}\s*=>\s*undef$"), part(p, 2))
+    pairs = mapped(F.transform(found, lambda p: F.struct(part(p, 1), given(p))))
     return from_pairs(rows, pairs, o["field_names"] or discovered(rows, pairs))
 
 
@@ -359,13 +416,22 @@ def declarations(head: str) -> dict[str, tuple[str, str, str | None]]:
 
 
 def read_xsv(df: DataFrame, o: dict[str, Any]) -> DataFrame:
-    """Typed tuples: declared fields in order, defaults filled, and ``_errors`` (code, field) for what is wrong with a record.
+    """Typed tuples by their text's own Head: declared fields in order, defaults filled, and ``_errors`` (code, field) for what is wrong with a record.
 
     Codes: UNKATTR for undeclared attributes, REQATTR for missing required ones, ATTRTYPE for values not of their type.
     """
     plain = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
-    first = df.orderBy("src").select(F.regexp_extract(plain, rf"(?s)<{o['head_name']}\b([^>]*)>", 1).alias("h")).first()
-    fields = declarations(first["h"] if first else "")
+    heads = df.select("src", "value", F.regexp_extract(plain, rf"(?s)<{o['head_name']}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1).alias("_head"))
+    kinds = [r["_head"] for r in heads.groupBy("_head").agg(F.min("src").alias("_first")).orderBy("_first").collect()]
+    parts = [_xsv_records(heads.filter(F.col("_head") == k).select("src", "value"), plain, declarations(k), o) for k in kinds]
+    if not parts:
+        return df.select("src", F.lit(0).cast("long").alias("rec_no"), F.array().cast("array<struct<code:string,field:string>>").alias("_errors"))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return out.select(*[c for c in out.columns if c != "_errors"], "_errors")
+
+
+def _xsv_records(df: DataFrame, plain: Column, fields: dict[str, tuple[str, str, str | None]], o: dict[str, Any]) -> DataFrame:
+    """The tuples of texts with one Head."""
     found = F.regexp_extract_all(plain, F.lit(rf"(?s)<{o['rec_name']}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), 1)
     rows = df.select("src", F.posexplode(found).alias("pos", "value")).select("src", (F.col("pos") + 1).cast("long").alias("rec_no"), "value")
     attrs = F.regexp_extract_all("value", F.lit(f"({_ATTR.replace('([A-Za-z_:][-\\w.:]*)', '[A-Za-z_:][-\\w.:]*').replace('(\\\"', '(?:\\\"')})"), 1)
@@ -405,6 +471,10 @@ READERS = {
 }
 
 
+#: Syntaxes whose files are read by blocks; of the others each file is one text.
+FILES = {"arff": arff_files, "columns": columns_files, "csv": csv_files}
+
+
 def parse_table(df: DataFrame, fmt: str, **options: Any) -> DataFrame:
     """Records of a frame of whole texts (src, value)."""
     return READERS[fmt](df, opts.resolve(**options))
@@ -414,9 +484,37 @@ def read_table(spark: SparkSession, fmt: str, source: str | list[str], path: boo
     """Records of files (any path Spark reads, compressed or not), or of texts in memory with ``path=False``."""
     if fmt not in READERS:
         raise ValueError(f"unknown format {fmt!r}")
+    o = opts.resolve(**options)
+    if path and fmt in FILES:
+        return FILES[fmt](spark, source, o)
+    if path and o["one_document"]:
+        return _parts(texts(spark, source, whole=True, path=True), fmt, options)
     return parse_table(texts(spark, source, whole=True, path=path), fmt, **options)
 
 
+def _parts(files: DataFrame, fmt: str, options: dict[str, Any]) -> DataFrame:
+    """The records of folders whose files, in order of their names, are one document; files hold whole records.
+
+    Files are parsed on their own and their records numbered on. What stands around the records is told from them:
+    brackets of a JSON list are left out, and tuples get the Head of their document.
+    """
+    folder = F.regexp_replace("src", "/[^/]*$", "")
+    if fmt == "json":
+        body = F.regexp_replace("value", r"^\s*\{\s*\"Table\":\s*\[|\]\s*\}\s*$|,\s*$", "")
+        files = files.select("src", F.concat(F.lit("["), F.regexp_replace(body, r",\s*$", ""), F.lit("]")).alias("value"))
+    if fmt == "xsv":
+        o = opts.resolve(**options)
+        head = F.regexp_extract("value", rf"(?s)(<{o['head_name']}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>)", 1)
+        heads = files.filter(head != "").groupBy(folder.alias("_doc")).agg(F.min_by(head, "src").alias("_head"))
+        files = files.join(heads, folder == F.col("_doc")).select("src", F.when(head != "", F.col("value")).otherwise(F.concat("_head", F.lit("\n"), "value")).alias("value"))
+    rows = parse_table(files, fmt, **{k: v for k, v in options.items() if k != "one_document"})
+    before = W.partitionBy("_doc").orderBy("src").rowsBetween(W.unboundedPreceding, -1)
+    counts = rows.groupBy("src").agg(F.max("rec_no").alias("_n")).withColumn("_doc", folder)
+    shifts = counts.select("src", "_doc", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = rows.join(shifts, "src").withColumns({"src": F.col("_doc"), "rec_no": F.col("rec_no") + F.col("_before")})
+    return rows.drop("_doc", "_before")
+
+
 def scan_csv(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     """Large CSV files through the built-in reader, which splits them: pushdown and column pruning included."""
     o = opts.resolve(**options)

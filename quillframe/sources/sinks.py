@@ -6,6 +6,7 @@ parallel; header and trailer go into files that sort before and after them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import scalars, udfs
 from quillframe.operators.schema import TableSchema
+from quillframe.sources import committed
 from quillframe.sources import options as opts
 
 NUMBER = r"^[-+]?\d+(\.\d+)?([Ee][-+]?\d+)?$"
@@ -49,7 +51,9 @@ def csv_record(columns: list[str], o: dict[str, Any]) -> Column:
 
 
 def arff_field(x: Column) -> Column:
-    quoted = F.concat(F.lit("'"), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    """A value in quotes if need be, its line breaks as escapes: a record is one line."""
+    body = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    quoted = F.concat(F.lit("'"), F.replace(F.replace(body, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r")), F.lit("'"))
     return F.when(x.isNull(), "?").when(x.rlike(r"[?,\s{}%'\"\\]") | (x == ""), quoted).otherwise(x)
 
 
@@ -107,12 +111,10 @@ def _double_quoted(x: Column) -> Column:
 
 
 def manchester_record(columns: list[str], o: dict[str, Any]) -> Column:
-    """An Individual frame; the first column names it."""
-    facts = []
-    for c in columns[1:]:
-        x = F.col(c).cast("string")
-        facts.append(F.concat(F.lit(f"{c} "), F.when(x.rlike(r"['()\s,\"\\]") | (x == ""), _double_quoted(x)).otherwise(x)))
-    return F.concat(F.lit("Individual: "), _text(columns[0]), F.lit("\n    Facts: "), _concat(facts, ",\n        "), F.lit("\n"))
+    """An Individual frame; the first column names it, one without a label where it is missing."""
+    shown = lambda x: F.when(x.rlike(r"['()\s,\"\\]|^_:|^[A-Za-z]+:$") | (x == ""), _double_quoted(x)).otherwise(x)
+    facts = [F.concat(F.lit(f"{c} "), shown(F.col(c).cast("string"))) for c in columns[1:]]
+    return F.concat(F.lit("Individual: "), F.coalesce(shown(F.col(columns[0]).cast("string")), F.lit("_:")), F.lit("\n    Facts: "), _concat(facts, ",\n        "), F.lit("\n"))
 
 
 def perl_record(columns: list[str], o: dict[str, Any]) -> Column:
@@ -167,7 +169,7 @@ def header(fmt: str, columns: list[str], o: dict[str, Any], datatypes: dict[str,
     if fmt == "arff":
         return "\n".join([f"@RELATION {o['relation']}", "", *[f"@ATTRIBUTE {c} {kinds.get(c, 'STRING')}" for c in columns], "", "@DATA"])
     if fmt == "xsv":
-        return f'<{o["xsv_name"]}>\n<{o["head_name"]} ' + " ".join(f'{c}="{kinds.get(c, "")}"' for c in columns) + ">"
+        return f'<{o["xsv_name"]}>\n<{o["head_name"]} ' + " ".join(f'{c}="{kinds.get(c, "#string#")}"' for c in columns) + ">"
     return {"json": '{ "Table": [', "perl": f"my @{o['var_name']} = (", "sexp": "(SEXP", "xml": f"<{o['table_tag']}>", "manchester": "Prefix: : <http://example.org/>\n"}.get(fmt)
 
 
@@ -227,6 +229,24 @@ def write_table(df: DataFrame, path: str, fmt: str, order: str, **options: Any)
     records(df, fmt, order, **options).repartitionByRange(n, "part", "ord").sortWithinPartitions("part", "ord").select("value").write.text(path)
 
 
+def write_document(df: DataFrame, path: str, fmt: str, order: str, overwrite: bool = False, **options: Any) -> None:
+    """One document of many parts, committed whole: header, records in order (numbers, each once), trailer; a failed write leaves nothing.
+
+    ``read_table`` takes it as one document with ``one_document=True``. Records are range-partitioned; the driver sees
+    the greatest order, behind which no separator stands.
+    """
+    columns = [c for c in df.columns if c not in ("src", "rec_no")]
+    o = opts.resolve(**options)
+    rows = df.select(F.col(order).cast("long").alias("ord"), record(df, fmt, columns, **options).alias("value"))
+    last = df.agg(F.max(F.col(order).cast("long"))).first()[0]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given = {"header": header(fmt, columns, o) or "", "trailer": trailer(fmt, o) or "", "separator": "," if fmt == "json" else "", "suffix": "." + fmt, "last": last}
+    writer = rows.repartitionByRange(n, "ord").sortWithinPartitions("ord").write.format(committed.register(df.sparkSession))
+    for name, value in given.items():
+        writer = writer.option(name, json.dumps(value))
+    writer.option("path", path).mode("overwrite" if overwrite else "append").save()
+
+
 def to_xml_document(df: DataFrame, path: str, row_tag: str = "tr", root_tag: str = "table") -> None:
     """Through the built-in writer, nested columns included."""
     df.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
