@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillframe.operators import sweep
+
 NODE = (
     "doc_id long, pre int, post int, parent int, depth int, sib_no int, kind string, name string, "
     "attrs map<string,string>, text string, path string, pointer string, lang string"
@@ -132,27 +134,29 @@ def matches(name: str = "*", attribute: str | None = None, value: str | None = N
     return ok
 
 
-#: Where b lies as seen from a, as a condition on their numbers.
-AXES = {
-    "ancestor": "b.pre < a.pre and b.post > a.post",
-    "descendant": "b.pre > a.pre and b.post < a.post",
-    "child": "b.parent = a.pre",
-    "parent": "a.parent = b.pre",
-    "preceding": "b.pre < a.pre and b.post < a.post",
-    "following": "b.pre > a.pre and b.post > a.post",
-    "preceding-sibling": "b.parent <=> a.parent and b.sib_no < a.sib_no",
-    "following-sibling": "b.parent <=> a.parent and b.sib_no > a.sib_no",
-}
-_REVERSED = ("ancestor", "preceding", "preceding-sibling")
+#: Directions in which nodes are looked for.
+AXES = ("ancestor", "child", "descendant", "following", "following-sibling", "parent", "preceding", "preceding-sibling")
 
 
 def select(context: DataFrame, nodes: DataFrame, axis: str, n: int = 1, test: Column | None = None) -> DataFrame:
-    """The n-th node on the axis that passes the test, for each context node: (doc_id, from_pre, and the node). Nearest first."""
-    b = (nodes.filter(test) if test is not None else nodes).alias("b")
-    pairs = context.alias("a").join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & F.expr(AXES[axis]))
-    order = F.col("b.pre").desc() if axis in _REVERSED else F.col("b.pre").asc()
-    nth = F.row_number().over(W.partitionBy("a.doc_id", "a.pre").orderBy(order))
-    return pairs.withColumn("_n", nth).filter(F.col("_n") == n).select(F.col("a.pre").alias("from_pre"), "b.*")
+    """The n-th node on the axis that passes the test, for each context node: (from_pre, and the node). Nearest first.
+
+    One sweep of each document finds the pairs; the nodes are fetched by their numbers.
+    """
+    if axis not in AXES or n < 1:
+        raise ValueError(f"no axis {axis!r}, or none of its nodes is number {n}")
+    test = F.lit(True) if test is None else test
+    if axis == "parent":
+        found = context.filter("parent is not null").select("doc_id", F.col("pre").alias("from_pre"), F.col("parent").alias("pre"))
+        return found.join(nodes.filter(test), ["doc_id", "pre"]).select("from_pre", *nodes.columns) if n == 1 else nodes.limit(0).select(F.col("pre").alias("from_pre"), "*")
+    asked = context.select("doc_id", "pre").distinct().withColumn("_asked", F.lit(True))
+    # context nodes need not be among the nodes that are looked at
+    rows = nodes.select("doc_id", "pre", "post", "depth", "parent", F.coalesce(test, F.lit(False)).alias("_match"))
+    rows = rows.unionByName(context.select("doc_id", "pre", "post", "depth", "parent", F.lit(False).alias("_match")))
+    rows = rows.groupBy("doc_id", "pre").agg(F.max("post").alias("post"), F.max("depth").alias("depth"), F.max("parent").alias("parent"), F.max("_match").alias("_match"))
+    rows = rows.join(asked, ["doc_id", "pre"], "left").withColumn("_context", F.coalesce("_asked", F.lit(False)))
+    pairs = sweep.swept(rows, list(sweep.Axis.COLUMNS), lambda doc: sweep.Axis(doc, axis, n), sweep.Axis.SCHEMA)
+    return pairs.join(nodes, ["doc_id", "pre"]).select("from_pre", *nodes.columns)
 
 
 def steps(nodes: DataFrame) -> DataFrame:
@@ -169,12 +173,10 @@ def steps(nodes: DataFrame) -> DataFrame:
 
 
 def branches(nodes: DataFrame) -> DataFrame:
-    """(doc_id, pre, left_leaf, right_leaf): the leaves at the ends of each element's subtree."""
-    a, b = nodes.filter("kind = 'element'").alias("a"), nodes.alias("b")
-    under = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & F.expr(AXES["descendant"]))
-    leaf = F.min("b.post").alias("p"), F.max("b.pre").alias("right_leaf")
-    ends = under.groupBy(F.col("a.doc_id").alias("doc_id"), F.col("a.pre").alias("pre")).agg(*leaf)
-    return ends.join(nodes.select("doc_id", F.col("post").alias("p"), F.col("pre").alias("left_leaf")), ["doc_id", "p"]).select("doc_id", "pre", "left_leaf", "right_leaf")
+    """(doc_id, pre, left_leaf, right_leaf): the nodes at the ends of each element's subtree, of whole trees: their numbers follow from the element's."""
+    ends = nodes.filter("kind = 'element' and post + depth - 1 > pre").select("doc_id", "pre", (F.col("pre") - F.col("depth") + 1).alias("_first"), (F.col("post") + F.col("depth") - 1).alias("right_leaf"))
+    firsts = nodes.select("doc_id", F.col("post").alias("_first"), F.col("pre").alias("left_leaf"))
+    return ends.join(firsts, ["doc_id", "_first"]).select("doc_id", "pre", "left_leaf", "right_leaf")
 
 
 def pointer_array(pointer: Column) -> Column:
@@ -192,11 +194,9 @@ def within(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def inherited(nodes: DataFrame, attribute: str, alias: str = "inherited") -> DataFrame:
-    """Adds the attribute of the nearest ancestor-or-self that has it."""
-    have = nodes.filter(F.element_at("attrs", F.lit(attribute)).isNotNull())
-    have = have.select(F.col("doc_id").alias("d"), F.col("pre").alias("p"), F.col("post").alias("q"), F.element_at("attrs", F.lit(attribute)).alias("v"))
-    near = nodes.join(have, (F.col("doc_id") == F.col("d")) & (F.col("p") <= F.col("pre")) & (F.col("q") >= F.col("post")))
-    found = near.groupBy("doc_id", "pre").agg(F.max_by("v", "p").alias(alias))
+    """Adds the attribute of the nearest ancestor-or-self that has it, by one sweep of each document."""
+    rows = nodes.withColumn("_value", F.try_element_at("attrs", F.lit(attribute)))
+    found = sweep.swept(rows, list(sweep.Inherited.COLUMNS), sweep.Inherited, f"doc_id long, pre int, {alias} string")
     return nodes.join(found, ["doc_id", "pre"], "left")
 
 
@@ -214,20 +214,10 @@ def without_elements(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def untagged(nodes: DataFrame, name: str) -> DataFrame:
-    """Drops elements of the name but keeps what is in them, at the place of the element; paths, depths and sibling numbers follow."""
-    gone = nodes.filter((F.col("name") == name) & (F.col("kind") == "element")).select("doc_id", F.col("pre").alias("p"), F.col("post").alias("q"))
-    kept = nodes.filter(~((F.col("name") == name) & (F.col("kind") == "element")))
-    k, g = kept.alias("k"), gone.alias("g")
-    over = k.join(g, (F.col("k.doc_id") == F.col("g.doc_id")) & (F.col("g.p") < F.col("k.pre")) & (F.col("g.q") > F.col("k.post")), "left")
-    lost = over.groupBy("k.doc_id", "k.pre").agg(F.count("g.p").alias("lost")).select("doc_id", "pre", "lost")
-    parents = nodes.filter("kind = 'element'").alias("e")
-    up = k.join(parents, (F.col("k.doc_id") == F.col("e.doc_id")) & (F.col("e.pre") < F.col("k.pre")) & (F.col("e.post") > F.col("k.post")) & (F.col("e.name") != name), "left")
-    up = up.groupBy("k.doc_id", "k.pre").agg(F.max("e.pre").alias("new_parent")).select("doc_id", "pre", "new_parent")
-    rows = kept.join(lost, ["doc_id", "pre"]).join(up, ["doc_id", "pre"])
-    rows = rows.withColumns({"parent": F.col("new_parent"), "depth": F.col("depth") - F.col("lost").cast("int")})
-    rows = rows.withColumn("path", F.array_join(F.filter(F.split("path", "/"), lambda p: p != name), "/"))
-    sib = F.row_number().over(W.partitionBy("doc_id", "parent").orderBy("pre"))
-    return rows.withColumn("sib_no", sib).drop("lost", "new_parent")
+    """Drops elements of the name but keeps what is in them, at the place of the element; all numbers and paths follow."""
+    rows = nodes.withColumn("_gone", (F.col("name") == name) & (F.col("kind") == "element"))
+    places = sweep.swept(rows, list(sweep.Kept.COLUMNS), sweep.Kept, sweep.Kept.SCHEMA)
+    return renumbered(nodes.join(places, ["doc_id", "pre"]))
 
 
 def contiguous_groups(df: DataFrame, by: list[str], order: str, key: Column, name: str = "group_no") -> DataFrame:
@@ -245,26 +235,9 @@ def _placed(nodes: DataFrame) -> DataFrame:
 def renumbered(rows: DataFrame) -> DataFrame:
     """A node table from rows with kind, name, attrs, text and _at, the place in the document; all numbers, paths and languages are made anew.
 
-    Every row is joined with the rows at the beginnings of its place, its ancestors; all of it is keyed by doc_id.
+    One sweep in order of the places; nodes stand in those whose place begins theirs.
     """
-    base = rows.select("doc_id", "kind", "name", "attrs", "text", "_at", F.size("_at").alias("depth"))
-    document, siblings = W.partitionBy("doc_id").orderBy("_at"), W.partitionBy("doc_id", F.slice("_at", F.lit(1), F.size("_at") - 1)).orderBy("_at")
-    base = base.withColumns({"pre": F.row_number().over(document) - 1, "sib_no": F.row_number().over(siblings)})
-    language = F.coalesce(*[F.when(F.element_at("attrs", F.lit(k)) != "", F.element_at("attrs", F.lit(k))) for k in ("lang", "xml:lang")])
-    ups = base.select(F.col("doc_id").alias("_doc"), F.col("_at").alias("_up"), F.struct("depth", "sib_no", "name", "pre", language.alias("lang")).alias("_of"))
-    lines = base.select("doc_id", "pre", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.slice("_at", F.lit(1), k))).alias("_up"))
-    lines = lines.join(ups, (F.col("doc_id") == F.col("_doc")) & (lines["_up"] == ups["_up"])).select("doc_id", "pre", "_of")
-    above = lines.groupBy("doc_id", "pre").agg(F.array_sort(F.collect_list("_of")).alias("_line"))
-    inside = lines.groupBy("doc_id", F.col("_of.pre").alias("pre")).agg((F.count("*") - 1).cast("int").alias("_inside"))
-    joined = lambda name: F.array_join(F.transform("_line", lambda u: u[name].cast("string")), "/")
-    known = F.filter("_line", lambda u: u["lang"].isNotNull())
-    out = base.join(above, ["doc_id", "pre"]).join(inside, ["doc_id", "pre"]).withColumns(
-        {
-            "post": F.col("pre") - F.col("depth") + 1 + F.col("_inside"), "parent": F.get("_line", F.col("depth") - 2)["pre"],
-            "path": joined("name"), "pointer": joined("sib_no"), "lang": F.get(known, F.size(known) - 1)["lang"],
-        }
-    )
-    return out.select(*[c.split(" ")[0] for c in NODE.split(", ")])
+    return sweep.swept(rows, list(sweep.Numbers.COLUMNS), sweep.Numbers, NODE, ["_at"])
 
 
 def inserted_sibling(nodes: DataFrame, target: Column, name: str, after: bool = True) -> DataFrame:
@@ -297,7 +270,8 @@ def merged_sibling_texts(nodes: DataFrame) -> DataFrame:
         F.min("pre").alias("pre"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "text"))), lambda s: s["text"]), "").alias("joined")
     )
     rows = runs.join(texts.select("doc_id", "pre", "joined"), ["doc_id", "pre"], "left")
-    return rows.filter("kind <> 'text' or joined is not null").withColumn("text", F.coalesce("joined", "text")).drop("run", "joined")
+    rows = rows.filter("kind <> 'text' or joined is not null").withColumn("text", F.coalesce("joined", "text"))
+    return renumbered(_placed(rows))
 
 
 def promoted_children(nodes: DataFrame, name: str) -> DataFrame:

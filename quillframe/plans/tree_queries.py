@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import stats, tree
+from quillframe.operators import content, stats, tree
 from quillframe.plans.registry import query
 from quillframe.plans.session import table
 
@@ -97,6 +97,34 @@ def tree_axes(spark, sf_dir):
     return above.join(after, ["doc_id", "from_pre"], "left")
 
 
+#: Each axis from the k-th list item: what is found, and where there is one.
+_FROM_ITEMS = (
+    ("ancestor", "11 - untitled", "true"), ("parent", "12 - untitled", "true"), ("child", "item + 1", "true"), ("descendant", "item + 2", "true"), ("following-sibling", "item + 3", "k + 1 < items"),
+    ("preceding-sibling", "item - 3", "k > 0"), ("following", "CASE WHEN k + 1 < items THEN item + 3 ELSE 14 - untitled + 3 * items END", "true"), ("preceding", "item - 2", "k > 0"),
+)
+_ITEMS = f"SELECT *, 13 - untitled + 3 * k AS item FROM (SELECT *, unnest(range(items)) AS k FROM ({_FACTS}))"
+
+
+@query(" UNION ALL ".join(f"SELECT page_id AS doc_id, item AS from_pre, '{axis}' AS axis, {pre} AS pre FROM ({_ITEMS}) WHERE {there}" for axis, pre, there in _FROM_ITEMS))
+def tree_all_axes(spark, sf_dir):
+    """From every list item: the second ancestor, the parent, the first child, the second descendant, the siblings, the next element and the link before."""
+    nodes = _nodes(spark, sf_dir)
+    items, out = nodes.filter(tree.matches("li")), None
+    asked = {"ancestor": (2, None), "descendant": (2, None), "following": (1, tree.matches("*")), "preceding": (1, tree.matches("a"))}
+    for axis in tree.AXES:
+        n, test = asked.get(axis, (1, None))
+        found = tree.select(items, nodes, axis, n, test).select("doc_id", "from_pre", F.lit(axis).alias("axis"), "pre")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(r"SELECT page_id AS doc_id, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<nav>.*?</nav>'), '</?ul>', '', 'g'), '(<li>.*?</li>)', '\1<hr></hr>', 'g') AS markup FROM pages")
+def tree_edited_after_untagging(spark, sf_dir):
+    """The lists of the navigation untagged, then a rule after each item."""
+    nodes = _nodes(spark, sf_dir).filter("path rlike '^html/body/nav(/|$)'")
+    return tree.serialized(tree.inserted_sibling(tree.untagged(nodes, "ul"), F.col("name") == "li", "hr"))
+
+
 @query(f"""
 SELECT page_id AS doc_id, replace(replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(pieces, lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: p <> ''), ' '),
   '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS content FROM ({_FACTS})
@@ -147,3 +175,30 @@ def tree_nestings(spark, sf_dir):
 @query(f"SELECT page_id AS doc_id, 'ad' AS value, 14 - untitled + 3 * items AS pre FROM ({_FACTS})")
 def tree_attribute_index(spark, sf_dir):
     return tree.attribute_index(_nodes(spark, sf_dir), "class")
+
+
+#: A document type for the pages: lists of exactly four items, links by an inclusion of the navigation only, no programs in the head, divisions and breaks not declared.
+_PAGE_TYPE = """
+<!ELEMENT html - - (head, body)>
+<!ELEMENT head - - (meta, title, style)>
+<!ELEMENT (meta | title | style | script | h1 | footer | a) - - (#PCDATA)>
+<!ELEMENT body - - (nav, article, footer)>
+<!ELEMENT nav - - (ul) +(a)>
+<!ELEMENT ul - - (li, li, li, li)>
+<!ELEMENT li - O (#PCDATA)>
+<!ELEMENT article - - (h1, p+)>
+<!ELEMENT p - O (#PCDATA | b)*>
+<!ELEMENT b - O (#PCDATA | p)*>
+"""
+#: (name, code, whether complete, how many on a page)
+_ADMITTED = (
+    *[(n, "2", "true", "1") for n in ("head", "meta", "title", "style", "body", "nav", "article", "h1", "footer")], ("html", "1", "true", "1"), ("script", "-1", "true", "1"), ("div", "-2", "NULL", "1"), ("br", "-2", "NULL", "breaks"),
+    ("a", "1", "true", "items"), ("b", "2", "true", "bolds"), ("p", "2", "true", "inner_p + 1"), ("ul", "2", "items >= 4", "1"), ("li", "2", "true", "least(items, 4)"), ("li", "-1", "true", "greatest(items - 4, 0)"),
+)
+
+
+@query(" UNION ALL ".join(f"SELECT page_id AS doc_id, '{n}' AS name, {code} AS code, ({ok})::BOOLEAN AS complete, {k} AS n FROM ({_FACTS}) WHERE {k} > 0" for n, code, ok, k in _ADMITTED))
+def content_admission(spark, sf_dir):
+    """How the elements of each page are admitted by a document type, and whether their content is complete."""
+    found = content.admission(_nodes(spark, sf_dir), content.models_of_dtd(_PAGE_TYPE))
+    return found.groupBy("doc_id", "name", "code", "complete").agg(F.count("*").alias("n"))
