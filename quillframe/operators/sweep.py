@@ -29,8 +29,8 @@ class Sweep(Protocol):
     def end(self, out: list[tuple]) -> None: ...
 
 
-def swept(rows: DataFrame, columns: list[str], start: Callable[[Any], Sweep], schema: str, order: list[str] | None = None) -> DataFrame:
-    """Rows of ``schema`` from ``start(doc_id)``, which is given the columns of each node of its document in order."""
+def swept(rows: DataFrame, columns: list[str], start: Callable[..., Sweep], schema: str, order: list[str] | None = None, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Rows of ``schema`` from ``start(key, ...)``, which is given the columns of each node of its document (or part of one) in order."""
     order = order or ["pre"]
     names = [f.split()[0] for f in schema.split(", ")]
     ints = [f.split()[0] for f in schema.split(", ") if f.split()[1] in ("int", "long")]
@@ -42,11 +42,11 @@ def swept(rows: DataFrame, columns: list[str], start: Callable[[Any], Sweep], sc
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         doc, sweep, out = None, None, []
         for batch in batches:
-            for key, *row in zip(batch["doc_id"].tolist(), *[_values(batch[c]) for c in columns], strict=True):
+            for key, *row in zip(zip(*[batch[k].tolist() for k in keys], strict=True), *[_values(batch[c]) for c in columns], strict=True):
                 if sweep is None or key != doc:
                     if sweep is not None:
                         sweep.end(out)
-                    doc, sweep = key, start(key)
+                    doc, sweep = key, start(*key)
                 sweep.node(tuple(row), out)
                 if len(out) >= BATCH:
                     yield frame(out)
@@ -56,8 +56,8 @@ def swept(rows: DataFrame, columns: list[str], start: Callable[[Any], Sweep], sc
         if out:
             yield frame(out)
 
-    sent = rows.select("doc_id", *dict.fromkeys([*columns, *order]))
-    return sent.repartition("doc_id").sortWithinPartitions("doc_id", *order).mapInPandas(run, schema)
+    sent = rows.select(*keys, *dict.fromkeys(c for c in [*columns, *order] if c not in keys))
+    return sent.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _values(column: pd.Series) -> list:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import content, stats, tree
+from quillframe.operators import content, stack, stats, tree
 from quillframe.plans.registry import query
 from quillframe.plans.session import table
 
@@ -202,3 +202,17 @@ def content_admission(spark, sf_dir):
     """How the elements of each page are admitted by a document type, and whether their content is complete."""
     found = content.admission(_nodes(spark, sf_dir), content.models_of_dtd(_PAGE_TYPE))
     return found.groupBy("doc_id", "name", "code", "complete").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT path, n, len(string_split(path, '/')) AS depth FROM ({_PATHS} UNION ALL {_DEEP}) WHERE n > 0")
+def stack_depth_paths(spark, sf_dir):
+    """Depths and paths of elements as told by the stack over ranges of forty events."""
+    rows = stack.opened(stack.events_of(_nodes(spark, sf_dir)), size=40).filter("event = 'start'")
+    return rows.groupBy("path").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+
+
+@query(f"SELECT page_id AS doc_id, '2/2/1/1/' || (k + 1) || '/1' AS pointer, 2 AS n_open, 4 AS innermost, 3 AS outermost FROM ({_ITEMS})")
+def stack_open_lists(spark, sf_dir):
+    """At each link of the navigation: how many navigations and lists are open, the innermost and the outermost of them."""
+    rows = stack.opened(stack.events_of(_nodes(spark, sf_dir)), ["nav", "ul"], 40)
+    return rows.filter("event = 'start' and name = 'a'").select("doc_id", "pointer", "n_open", "innermost", "outermost")
