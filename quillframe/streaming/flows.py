@@ -63,3 +63,10 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drained_to(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs what is there through a stream into a Parquet table below a shared folder, and reads it."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
