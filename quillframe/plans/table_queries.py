@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import records, schema, stats
+from quillframe.operators import pull, records, schema, stats, tree
 from quillframe.plans.registry import query
 from quillframe.plans.session import table
 from quillframe.sources import readers, sinks
@@ -351,3 +351,32 @@ for _fmt, _around in (
     ("xsv", {"head": '<Xsv>\n<Head doc_id="" text="">\n', "tail": "\n</Head>\n</Xsv>"}),
 ):
     _text_round_trip(_fmt, **_around)
+
+
+#: Countries by region as tables of two fields, in SQL: the events of each record and of each table.
+_FIELDS = "SELECT n_regionkey::VARCHAR AS src, (n_nationkey + 1)::BIGINT AS rec_no, n_name, n_nationkey::VARCHAR AS n_comment FROM nation"
+
+
+@query(f"""
+SELECT src, rec_no, fld_no, ev_no, event, arg FROM (
+  SELECT src, rec_no, 0 AS fld_no, 0 AS ev_no, 'Start' AS event, 'tr' AS arg FROM ({_FIELDS}) UNION ALL SELECT src, rec_no, 3, 0, 'End', 'tr' FROM ({_FIELDS})
+  UNION ALL SELECT src, rec_no, unnest([1, 1, 1, 2, 2, 2]), unnest([0, 1, 2, 0, 1, 2]), unnest(['Start', 'Text', 'End', 'Start', 'Text', 'End']), unnest(['td', n_name, 'td', 'td', n_comment, 'td']) FROM ({_FIELDS})
+  UNION ALL SELECT DISTINCT src, 0, 0, unnest([0, 1]), unnest(['Init', 'Start']), unnest(['', 'table']) FROM (SELECT DISTINCT src FROM ({_FIELDS}))
+  UNION ALL SELECT DISTINCT src, 4611686018427387904, 0, unnest([0, 1]), unnest(['End', 'Fin']), unnest(['table', '']) FROM (SELECT DISTINCT src FROM ({_FIELDS})))
+""")
+def table_events_sql(spark, sf_dir):
+    """The pull view called from SQL: each region is a table of its countries."""
+    pull.register(spark)
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("src"), (F.col("n_nationkey") + 1).cast("long").alias("rec_no"), "n_name", "n_nationkey")
+    return spark.sql("SELECT * FROM table_events(TABLE({rows}) PARTITION BY (src) ORDER BY (rec_no), 'src', 'rec_no')", rows=nation)
+
+
+@query("""
+SELECT c_nationkey AS doc_id, '<table>' || string_agg('<tr><td class="c_name">' || c_name || '</td><td class="c_mktsegment">' || c_mktsegment || '</td></tr>', '' ORDER BY c_custkey) || '</table>' AS markup
+FROM customer GROUP BY c_nationkey
+""")
+def table_nodes_sql(spark, sf_dir):
+    """The tree view called from SQL: the customers of each country as a table, written as markup."""
+    pull.register(spark)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc"), "c_custkey", "c_name", "c_mktsegment")
+    return tree.serialized(spark.sql("SELECT * FROM table_nodes(TABLE({rows}) PARTITION BY (doc) ORDER BY (c_custkey), 'doc', 'c_custkey')", rows=rows))
