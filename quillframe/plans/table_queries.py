@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillframe.operators import pull, records, schema, stats, tree
+from quillframe.operators import partial, pull, records, schema, stats, tree
 from quillframe.plans.registry import query
-from quillframe.plans.session import table
+from quillframe.plans.session import scratch, table
 from quillframe.sources import readers, sinks
 
 
@@ -380,3 +380,22 @@ def table_nodes_sql(spark, sf_dir):
     pull.register(spark)
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("doc"), "c_custkey", "c_name", "c_mktsegment")
     return tree.serialized(spark.sql("SELECT * FROM table_nodes(TABLE({rows}) PARTITION BY (doc) ORDER BY (c_custkey), 'doc', 'c_custkey')", rows=rows))
+
+
+@query("""
+SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, arg_min(user_id, event_id) AS first_user, arg_max(user_id, event_id) AS last_user,
+  round(avg(value), 6) AS mean, true AS users_near, true AS median_near FROM events GROUP BY event_type
+""")
+def stored_statistics(spark, sf_dir):
+    """States of eight batches and each type of event, stored, read and merged by type; the sketches are held against exact figures."""
+    events, path = table(spark, sf_dir, "events"), scratch(spark)
+    log = partial.PartialLog().create("n", partial.count()).create("total", partial.total("value")).create("low", partial.least("value")).create("high", partial.greatest("value"))
+    log.create("first_user", partial.first("user_id", "event_id")).create("last_user", partial.last("user_id", "event_id")).create("mean", partial.mean("value"))
+    log.create("users", partial.distinct("user_id")).create("median", partial.quantile("value", 0.5))
+    log.states(events.withColumn("batch", F.col("event_id") % 8), ["batch", "event_type"]).write.parquet(path)
+    got = log.finished(log.merged(spark.read.parquet(path), ["event_type"]))
+    exact = events.groupBy("event_type").agg(F.count_distinct("user_id").alias("_users"))
+    below = events.join(got.select("event_type", "median"), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("median")).cast("int")).alias("_rank"))
+    rows = got.join(exact, "event_type").join(below, "event_type")
+    near = (F.abs(F.col("users") / F.col("_users") - 1) < 0.07).alias("users_near"), (F.abs(F.col("_rank") - 0.5) < 0.03).alias("median_near")
+    return rows.select("event_type", "n", F.round("total", 4).alias("total"), "low", "high", "first_user", "last_user", F.round("mean", 6).alias("mean"), *near)
