@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillframe.plans.registry import query
 from quillframe.plans.session import scratch, table
-from quillframe.sources import readers, sinks, splits
+from quillframe.sources import options, readers, seeks, sinks, splits
 
 #: White space at the ends of a field is the field's own in these syntaxes.
 EXACT = ("csv", "json", "xsv", "arff", "perl", "sexp", "manchester")
@@ -68,3 +68,19 @@ def lines_of_files(spark, sf_dir):
     numbered = splits.read_lines(spark, path)
     counts = numbered.groupBy(F.split("value", "\t")[0].cast("long").alias("doc_id")).agg(F.count_distinct("src", "rec_no").alias("n"))
     return counts
+
+
+@query("SELECT doc_id, '\"' || doc_id || '\",\"' || replace(text, '\"', '\"\"') || '\"' AS value, true AS near FROM documents WHERE doc_id IN (SELECT c_custkey FROM customer)")
+def seek_records(spark, sf_dir):
+    """Documents in eight CSV files; those that have a customer's number are asked for by file and record number, and each is read behind a stored index of every eighth record."""
+    path, side, o = scratch(spark), scratch(spark), options.resolve(comment="")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = docs.select("doc_id", F.concat_ws(",", quoted("doc_id"), quoted("text")).alias("value"))
+    lines.repartitionByRange(8, "doc_id").select("value").write.text(path)
+    seeks.record_index(spark, path, o, 8).write.parquet(side)
+    key = F.regexp_extract("value", r'^"(\d+)"', 1).cast("long").alias("doc_id")
+    records = splits.logical_records(spark, path, o)[0].select("src", "rec_no", key)
+    asked = records.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), "doc_id", "left_semi")
+    found = seeks.records_at(spark.read.parquet(side), asked, o, 8)
+    return found.select(key, "value", (F.col("bytes_read") < 400_000).alias("near"))

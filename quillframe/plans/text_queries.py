@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.functions import scalars, udfs
-from quillframe.operators import stats, tokens
+from quillframe.operators import entities, stats, tokens
 from quillframe.plans.registry import query
 from quillframe.plans.session import table
 
@@ -188,3 +188,21 @@ def source_profile(spark, sf_dir):
     return docs.groupBy("source").agg(
         F.count("*").alias("n"), F.sum(scalars.length_in_chars(F.col("text"))).alias("chars"), F.sum(scalars.length_in_bytes(F.col("text"))).alias("bytes"), F.max(F.length("text")).cast("long").alias("longest")
     )
+
+
+#: A subset with the row's own values: an entity in an entity, a parameter entity that brings a declaration, one defined twice, two in a circle.
+_SUBSET = ("<!ENTITY src \"", "\"><!ENTITY % decl '<!ENTITY who \"&src; in &lng;\">'> %decl; <!ENTITY lng \"", "\"><!ENTITY src \"other\"><!ENTITY one \"&two;\"><!ENTITY two \"&one;\">")
+
+
+@query("""
+SELECT doc_id, 'A ' || source || ' in ' || coalesce(lang, 'none') || ' & B ' || CASE WHEN doc_id % 3 = 0 THEN '&one;' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN '&none;' ELSE '' END AS expanded, 2 AS depth,
+  CASE WHEN doc_id % 3 = 0 THEN 'CYCLE one,CYCLE two' ELSE '' END || CASE WHEN doc_id % 3 = 0 AND doc_id % 5 = 0 THEN ',' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN 'UNDEFINED none' ELSE '' END AS errors
+FROM documents
+""")
+def document_entities(spark, sf_dir):
+    """Every document with definitions of its own; circles and unknown names are reported."""
+    docs = table(spark, sf_dir, "documents")
+    subset = F.concat(F.lit(_SUBSET[0]), "source", F.lit(_SUBSET[1]), F.coalesce("lang", F.lit("none")), F.lit(_SUBSET[2]))
+    text = F.concat(F.lit("&#65; &who; &amp; B "), F.when(F.col("doc_id") % 3 == 0, "&one;").otherwise(""), F.when(F.col("doc_id") % 5 == 0, "&none;").otherwise(""))
+    found = entities.expanded_documents(docs.select("doc_id", subset.alias("subset"), text.alias("text")), "subset", "text")
+    return found.withColumn("errors", F.array_join(F.transform("errors", lambda e: F.concat_ws(" ", e["code"], e["name"])), ","))
