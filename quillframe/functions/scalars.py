@@ -110,6 +110,7 @@ def align(x: Column, width: int, how: str = "L", truncate: bool = False, nil: st
 # --- numbers -------------------------------------------------------------------------
 
 NUMERIC = r"^\s*[-+]?\d+(\.\d+)?([Ee][-+]?\d+)?\s*$"
+#: Letters of the powers of the base (fixed values).
 UNITS = ("", "K", "M", "G", "T", "P", "E", "Z", "Y")
 
 
@@ -300,8 +301,10 @@ def split_escaped(x: Column, delimiter: str = ",", escape: str = "\\", unescape:
 
 # --- terminal colours ----------------------------------------------------------------
 
-COLORS = ("black", "red", "green", "yellow", "blue", "magenta", "cyan", "white", "default")
-EFFECTS = ("bold", "faint", "italic", "ul", "blink", "fblink", "inverse", "invisible", "strike", "plain")
+#: Names that users type, in the order of their codes (fixed values).
+COLORS = ("black", "red", "green", "yellow", "blue", "magenta", "cyan", "white", "default", "off")
+#: The same of effects (fixed values).
+EFFECTS = ("bold", "faint", "italic", "ul", "blink", "fblink", "inverse", "concealed", "strike", "plain")
 
 
 def color_code(name: str) -> str:

@@ -1,4 +1,4 @@
-"""Five signers in every syntax: each reads to the same table, and every pair of syntaxes round-trips."""
+"""Five rows in every syntax: each reads to the same table, and every pair of syntaxes round-trips."""
 
 import itertools
 
@@ -6,19 +6,19 @@ import pytest
 
 from quillframe.sources import readers, sinks
 
-NAMES = ["Id", "Fname", "LName", "State"]
-SIGNERS = [
-    ("Signer01", "John", "Adams", "MA"),
-    ("Signer02", "Benjamin", "Franklin", "PA"),
-    ("Signer03", "John", "Hancock", "MA"),
-    ("Signer04", "Stephen", "Hopkins", "RI"),
-    ("Signer05", "Andries", "van Dam", "RI"),
+NAMES = ["Id", "item", "maker", "shelf"]
+ROWS = [
+    ("k-17", "lamp", "Orlo", "B2"),
+    ("k-18", "clock", "Tessel", "C7"),
+    ("k-19", "lamp", "Brund", "B2"),
+    ("k-20", "chair", 'Quist "Q"', "D4"),
+    ("k-21", "globe", "de Wit", "D4"),
 ]
 OPTIONS = {"columns": {"positions": [0, 10, 22, 34]}}
 
 
 def written(spark, fmt):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(SIGNERS, 1)], "rec_no long, Id string, Fname string, LName string, State string")
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(ROWS, 1)], "rec_no long, Id string, item string, maker string, shelf string")
     return sinks.assembled(df, fmt, "rec_no", **OPTIONS.get(fmt, {})).first()[0]
 
 
@@ -30,32 +30,32 @@ def read(spark, fmt, text):
 @pytest.mark.parametrize("fmt", sorted(readers.READERS))
 def test_round_trip(spark, fmt):
     rows = read(spark, fmt, written(spark, fmt)).orderBy("rec_no").select(*NAMES).collect()
-    assert [tuple(r) for r in rows] == SIGNERS
+    assert [tuple(r) for r in rows] == ROWS
 
 
 HAND = {
-    "csv": 'Id, Fname, LName, State\nSigner01, John, Adams, MA\nSigner05, Andries, "van Dam", RI\n',
-    "arff": "% people\n@RELATION s\n@ATTRIBUTE Id STRING\n@ATTRIBUTE Fname STRING\n@ATTRIBUTE LName STRING\n@ATTRIBUTE State {MA, RI}\n@DATA\nSigner01,John,Adams,MA\nSigner05,Andries,'van Dam',RI\n",
-    "json": '{"Table": [ {"Id": "Signer01", "Fname": "John", "LName": "Adams", "State": "MA"},\n {"Id": "Signer05", "Fname": "Andries", "LName": "van Dam", "State": "RI"} ]}',
-    "mime": "Id: Signer01\nFname: John\nLName: Adams\nState: MA\n\nId: Signer05\nFname: Andries\nLName: van\n Dam\nState: RI\n",
-    "manchester": "# c\nPrefix: : <x>\nClass: P\nIndividual: Signer01\n  Types: P\n  Facts: Fname John,\n   LName Adams, State MA\nIndividual: Signer05\n  Facts: Fname Andries, LName 'van Dam', State RI\n",
-    "sexp": "((Id 'Signer01') (Fname 'John') (LName 'Adams') (State 'MA'))\n((Id 'Signer05') (Fname 'Andries') (LName 'van Dam') (State 'RI'))",
-    "perl": 'my @x = ( { "Id" => "Signer01", "Fname" => \'John\', "LName" => "Adams", "State" => "MA" },\n { "Id" => "Signer05", "Fname" => "Andries", "LName" => "van Dam", "State" => "RI" } );',
-    "xml": '<table><tr><td class="Id">Signer01</td><td class="Fname">John</td><td class="LName">Adams</td><td class="State">MA</td></tr>\n<tr><Id>Signer05</Id><Fname>Andries</Fname><LName>van&#x20;Dam</LName><State>RI</State></tr></table>',
-    "xsv": '<Xsv><Head Id="#NCName!#" Fname="" LName="Adams" State="#ENUM(MA RI)#MA">\n<Rec Id="Signer01" Fname="John"/>\n<Rec Id="Signer05" Fname="Andries" LName="van Dam" State="RI" /></Head></Xsv>',
+    "csv": 'Id, item, maker, shelf\nk-17, lamp, Orlo, B2\nk-21, globe, "de Wit", D4\n',
+    "arff": "% goods\n@RELATION s\n@ATTRIBUTE Id STRING\n@ATTRIBUTE item STRING\n@ATTRIBUTE maker STRING\n@ATTRIBUTE shelf {B2, D4}\n@DATA\nk-17,lamp,Orlo,B2\nk-21,globe,'de Wit',D4\n",
+    "json": '{"Table": [ {"Id": "k-17", "item": "lamp", "maker": "Orlo", "shelf": "B2"},\n {"Id": "k-21", "item": "globe", "maker": "de Wit", "shelf": "D4"} ]}',
+    "mime": "Id: k-17\nitem: lamp\nmaker: Orlo\nshelf: B2\n\nId: k-21\nitem: globe\nmaker: de\n Wit\nshelf: D4\n",
+    "manchester": "# c\nPrefix: : <x>\nClass: P\nIndividual: k-17\n  Types: P\n  Facts: item lamp,\n   maker Orlo, shelf B2\nIndividual: k-21\n  Facts: item globe, maker 'de Wit', shelf D4\n",
+    "sexp": "((Id 'k-17') (item 'lamp') (maker 'Orlo') (shelf 'B2'))\n((Id 'k-21') (item 'globe') (maker 'de Wit') (shelf 'D4'))",
+    "perl": 'my @x = ( { "Id" => "k-17", "item" => \'lamp\', "maker" => "Orlo", "shelf" => "B2" },\n { "Id" => "k-21", "item" => "globe", "maker" => "de Wit", "shelf" => "D4" } );',
+    "xml": '<table><tr><td class="Id">k-17</td><td class="item">lamp</td><td class="maker">Orlo</td><td class="shelf">B2</td></tr>\n<tr><Id>k-21</Id><item>globe</item><maker>de&#x20;Wit</maker><shelf>D4</shelf></tr></table>',
+    "xsv": '<Xsv><Head Id="#NCName!#" item="" maker="Orlo" shelf="#ENUM(B2 D4)#B2">\n<Rec Id="k-17" item="lamp"/>\n<Rec Id="k-21" item="globe" maker="de Wit" shelf="D4" /></Head></Xsv>',
 }
 
 
 @pytest.mark.parametrize("fmt", sorted(HAND))
 def test_hand_written(spark, fmt):
     rows = read(spark, fmt, HAND[fmt]).orderBy("rec_no").select(*NAMES).collect()
-    assert [tuple(r) for r in rows] == [SIGNERS[0], SIGNERS[4]]
+    assert [tuple(r) for r in rows] == [ROWS[0], ROWS[4]]
 
 
 def test_arff_missing_and_sparse(spark):
-    text = "@RELATION s\n@ATTRIBUTE a STRING\n@ATTRIBUTE b NUMERIC\n@ATTRIBUTE c STRING\n@DATA\nx,?,'p, q'\n{0 John, 2 MA}\n"
+    text = "@RELATION s\n@ATTRIBUTE a STRING\n@ATTRIBUTE b NUMERIC\n@ATTRIBUTE c STRING\n@DATA\nx,?,'p, q'\n{0 lamp, 2 B2}\n"
     rows = readers.read_table(spark, "arff", text, path=False).orderBy("rec_no").select("a", "b", "c").collect()
-    assert [tuple(r) for r in rows] == [("x", None, "p, q"), ("John", "0", "MA")]
+    assert [tuple(r) for r in rows] == [("x", None, "p, q"), ("lamp", "0", "B2")]
 
 
 CELLS = [
@@ -108,7 +108,7 @@ def test_options_are_checked():
 def test_conversion(spark, a, b):
     table = read(spark, a, written(spark, a)).select("rec_no", *NAMES)
     text = sinks.assembled(table, b, "rec_no").first()[0]
-    assert [tuple(r) for r in read(spark, b, text).orderBy("rec_no").select(*NAMES).collect()] == SIGNERS
+    assert [tuple(r) for r in read(spark, b, text).orderBy("rec_no").select(*NAMES).collect()] == ROWS
 
 
 def test_csv_escape_decoding(spark):
