@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.plans.registry import query
@@ -84,3 +85,29 @@ def seek_records(spark, sf_dir):
     asked = records.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id")), "doc_id", "left_semi")
     found = seeks.records_at(spark.read.parquet(side), asked, o, 8)
     return found.select(key, "value", (F.col("bytes_read") < 400_000).alias("near"))
+
+
+_TUPLE_HEAD = '<Xsv>\n<Head id="#ID!#" cust="#positiveInteger#7" status="#ENUM(F O)#" page="#BASE#http://x/" note="none">\n'
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rec_no, o_custkey AS src, o_orderstatus AS s FROM orders),
+r AS (SELECT *, CASE WHEN k % 7 > 0 THEN 'o' || (rec_no // 2) END AS id, CASE WHEN k % 5 > 0 THEN (k % 4)::VARCHAR END AS cust FROM o),
+d AS (SELECT *, id IS NOT NULL AND row_number() OVER (PARTITION BY src, id ORDER BY rec_no) > 1 AS again FROM r)
+SELECT src, rec_no, id, coalesce(cust, '7') AS cust, s AS status, 'http://x/' || k AS page, 'none' AS note,
+  array_to_string(list_filter([CASE WHEN k % 3 = 0 THEN 'UNKATTR odd' END, CASE WHEN again THEN 'DUPID id' END, CASE WHEN id IS NULL THEN 'REQATTR id' END, CASE WHEN cust = '0' THEN 'ATTRTYPE cust' END, CASE WHEN s NOT IN ('F', 'O') THEN 'ATTRTYPE status' END], lambda e: e IS NOT NULL), ',') AS errors FROM d
+""")
+def declared_tuples(spark, sf_dir):
+    """Each customer's orders as a text of typed tuples: defaults, required and unknown attributes, types, bases and repeated identifiers."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("src"), F.col("o_orderstatus").alias("s"))
+    rows = rows.withColumn("rec_no", F.row_number().over(W.partitionBy("src").orderBy("k")))
+    attribute = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), value, F.lit('"'))).otherwise("")
+    given = {
+        "id": F.when(F.col("k") % 7 > 0, F.concat(F.lit("o"), F.floor(F.col("rec_no") / 2).cast("string"))), "cust": F.when(F.col("k") % 5 > 0, (F.col("k") % 4).cast("string")),
+        "status": F.col("s"), "page": F.col("k").cast("string"), "odd": F.when(F.col("k") % 3 == 0, F.lit("x")),
+    }
+    tuples = rows.select("src", "k", F.concat(F.lit("<Rec"), *[attribute(n, v) for n, v in given.items()], F.lit(" />")).alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda s: s["line"]), "\n")
+    texts = tuples.groupBy("src").agg(F.concat(F.lit(_TUPLE_HEAD), lines, F.lit("\n</Head>\n</Xsv>")).alias("value"))
+    errors = F.array_join(F.transform("_errors", lambda e: F.concat_ws(" ", e["code"], e["field"])), ",")
+    return readers.parse_table(texts, "xsv").select("src", "rec_no", "id", "cust", "status", "page", "note", errors.alias("errors"))

@@ -418,7 +418,8 @@ def declarations(head: str) -> dict[str, tuple[str, str, str | None]]:
 def read_xsv(df: DataFrame, o: dict[str, Any]) -> DataFrame:
     """Typed tuples by their text's own Head: declared fields in order, defaults filled, and ``_errors`` (code, field) for what is wrong with a record.
 
-    Codes: UNKATTR for undeclared attributes, REQATTR for missing required ones, ATTRTYPE for values not of their type.
+    Codes: UNKATTR for undeclared attributes, REQATTR for missing required ones, ATTRTYPE for values not of their type,
+    DUPID for identifiers that an earlier tuple of the text has.
     """
     plain = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
     heads = df.select("src", "value", F.regexp_extract(plain, rf"(?s)<{o['head_name']}\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", 1).alias("_head"))
@@ -441,6 +442,11 @@ def _xsv_records(df: DataFrame, plain: Column, fields: dict[str, tuple[str, str,
     known = F.array(*[F.lit(n) for n in fields]) if fields else F.array().cast("array<string>")
     stray = F.transform(F.array_except(F.map_keys("_m"), known), lambda n: F.struct(F.lit("UNKATTR").alias("code"), n.alias("field")))
     bad = lambda test, code, name: F.when(test, F.struct(F.lit(code).alias("code"), F.lit(name).alias("field")))
+    for name, (kind, _, _) in fields.items():
+        if kind == "ID":  # in order of the records, all but the first of one text
+            again = F.row_number().over(W.partitionBy("src", F.try_element_at("_m", F.lit(name))).orderBy("rec_no")) > 1
+            rows = rows.withColumn(f"_again_{name}", again & F.try_element_at("_m", F.lit(name)).isNotNull())
+            errors.append(bad(F.col(f"_again_{name}"), "DUPID", name))
     for name, (kind, repetition, default) in fields.items():
         raw = F.try_element_at("_m", F.lit(name))
         if kind == "BASE":
