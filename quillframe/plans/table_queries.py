@@ -334,20 +334,22 @@ def balanced_scan(spark, sf_dir):
 # --- every text of documents, written as a record of a syntax and read again ----------
 
 
-def _text_round_trip(fmt, head="", tail="", **options):
+def _text_round_trip(fmt, head="", tail="", sql="text", **options):
     def plan(spark, sf_dir):
         df = table(spark, sf_dir, "documents").select("doc_id", "text")
         written = df.select(F.col("doc_id").cast("string").alias("src"), F.concat(F.lit(head), sinks.record(df, fmt, ["doc_id", "text"], **options), F.lit(tail)).alias("value"))
-        names = {} if fmt == "xsv" else {"field_names": ["Id", "text"] if fmt == "manchester" else ["doc_id", "text"]}
+        names = {} if fmt in ("xsv", "arff") else {"field_names": ["Id", "text"] if fmt == "manchester" else ["doc_id", "text"]}
         rows = readers.parse_table(written, fmt, **options, **names)
         return rows.select(F.col("src").cast("long").alias("doc_id"), "text")
 
     plan.__name__ = f"text_through_{fmt}"
-    query("SELECT doc_id, text FROM documents")(plan)
+    query(f"SELECT doc_id, {sql} AS text FROM documents")(plan)
 
 
 for _fmt, _around in (
     ("csv", {"escape": "\\", "header": False, "comment": ""}), ("json", {}), ("manchester", {}), ("perl", {"head": "my @x = (\n", "tail": "\n);"}), ("sexp", {}),
+    ("arff", {"head": "@RELATION r\n@ATTRIBUTE doc_id STRING\n@ATTRIBUTE text STRING\n@DATA\n"}), ("xml", {"sql": "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"}),
+    ("mime", {"sql": "regexp_replace(regexp_replace(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), '^\\s+', ''), '\\s+$', '')", "line_length": 1_000_000}),
     ("xsv", {"head": '<Xsv>\n<Head doc_id="" text="">\n', "tail": "\n</Head>\n</Xsv>"}),
 ):
     _text_round_trip(_fmt, **_around)
