@@ -19,9 +19,10 @@ covered, as follows.
 4. The starts that go come back to their documents as ranges, which are merged and cut.
 
 Defined cases: null is the empty text; texts below MATCH bytes lose nothing; rows
-without doc_id lose nothing and are compared with nothing; repeated rows of one doc_id
-count as one document and repeat its result; an empty table gives an empty result;
-extra columns stay out of the result.
+without doc_id lose nothing and are compared with nothing; repeated rows of one doc_id and
+text count as one document and repeat its result; other texts of one doc_id are documents
+of their own, in order of their hashes; an empty table gives an empty result; extra columns
+stay out of the result.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from quillframe.llm.codepoints import BASE, INVERSE, mix
 from quillframe.llm.common import partitions, saved, table
+from quillframe.llm.merkle import numbered
 
 MATCH, SEED = 100, 32
 SPAN = MATCH - SEED + 1
@@ -347,7 +349,22 @@ def _cut(text: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
 def deduplicated(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     """docs (doc_id, text) to (doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes that stay)."""
     docs = docs.select("doc_id", "text")
-    usable = docs.filter("doc_id is not null and text is not null")
+    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("hash"))
+    several = texts.groupBy("doc_id").agg((F.min("hash") < F.max("hash")).alias("several")).filter("several")
+    if several.isEmpty():
+        return _deduplicated(docs, keep_text)
+    # texts of one doc_id are told apart: every pair of doc_id and text gets a number that keeps their order
+    pairs = saved(texts.distinct().withColumn("tree", F.lit(None).cast("string")))
+    places = numbered(pairs, ["doc_id", "hash"]).select(F.col("doc_id").alias("own"), "hash", "place")
+    rows = docs.join(places, (F.col("doc_id") == F.col("own")) & (F.xxhash64("text") == F.col("hash")) & F.col("text").isNotNull(), "left")
+    rows = saved(rows.select(F.col("place").alias("doc_id"), "text", F.col("doc_id").alias("own")))
+    done = _deduplicated(rows, keep_text)
+    return done.select(F.col("own").alias("doc_id"), *[c for c in done.columns if c not in ("doc_id", "own")])
+
+
+def _deduplicated(docs: DataFrame, keep_text: bool) -> DataFrame:
+    """The same where a doc_id has one text; other columns are kept."""
+    usable = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     bits, total = repeated_anchors(usable)
     held = docs.sparkSession.sparkContext.broadcast(bits)
     runs = usable.mapInPandas(_send_runs(held), _RUNS)
@@ -363,7 +380,7 @@ def deduplicated(docs: DataFrame, keep_text: bool = True) -> DataFrame:
         return rows if keep_text else rows.drop(columns="kept")
 
     done = docs.join(spans.hint("merge"), "doc_id", "left").withColumn("cut", cut("text", "starts", "sizes"))
-    return done.select("doc_id", "cut.*")
+    return done.select(*[c for c in docs.columns if c != "text"], "cut.*")
 
 
 def op4_suffix_dedup(spark, sf_dir):

@@ -92,3 +92,13 @@ def test_empty(no_documents):
 def test_short_buffers(n):
     first, count, _, _ = S.anchored_runs(np.full(n, 7, np.uint8), np.array([n]))
     assert int(count.sum()) == max(0, n - 99)
+
+
+def test_texts_of_one_id_are_apart(spark):
+    """A text that another row of its doc_id does not share loses nothing; a text that an earlier id has goes, whatever else its own id has."""
+    a, b = "".join(f"first {k} " for k in range(40)), "".join(f"second {k} " for k in range(40))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, b), (None, a), (4, None), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in S.deduplicated(frame).collect())
+    n, m = len(a.encode()), len(b.encode())
+    assert got == sorted([(1, n, 0), (2, n, n), (2, m, 0), (2, m, 0), (3, m, m), (0, n, 0), (4, 0, 0), (5, 0, 0)])
