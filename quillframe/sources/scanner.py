@@ -5,43 +5,46 @@ The scan of a text is sequential, so a file is one task: give such sources as ma
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@lru_cache(maxsize=32)
+def _signs(openers: str, closers: str, quotes: str, escape: str, comment: str) -> tuple[re.Pattern, re.Pattern]:
+    """What matters inside a piece (comments, whole quoted strings, brackets), and outside (no quotes there)."""
+    brackets = f"[{re.escape(openers + closers)}]"
+    notes = [re.escape(comment) + r"[^\n]*+"] if comment else []
+    e = re.escape(escape)
+    strings = [rf"{q}(?:[^{q}{e}]|{e}.)*+(?:{q}|\Z|{e}\Z)" for q in map(re.escape, quotes)]
+    return re.compile("|".join([*notes, *strings, brackets]), re.S), re.compile("|".join([*notes, brackets]), re.S)
+
+
 def balanced(text: str, openers: str = "([{", closers: str = ")]}", quotes: str = "\"'", escape: str = "\\", comment: str = "") -> Iterator[str]:
-    """Top-level balanced pieces of the text; what stands between them is passed over."""
+    """Top-level balanced pieces of the text; what stands between them is passed over. The scan goes from sign to sign."""
     stack: list[str] = []
     pair = dict(zip(closers, openers, strict=True))
-    start, k, n, quote = 0, 0, len(text), ""
-    while k < n:
-        c = text[k]
-        if quote:
-            if c == escape:
-                k += 1
-            elif c == quote:
-                quote = ""
-        elif comment and text.startswith(comment, k):
-            k = text.find("\n", k)
-            if k < 0:
-                return
-        elif c in quotes and stack:
-            quote = c
-        elif c in openers:
-            if not stack:
-                start = k
-            stack.append(c)
-        elif c in closers:
-            if stack and stack[-1] == pair[c]:
+    inside, outside = _signs(openers, closers, quotes, escape, comment)
+    start = k = 0
+    while m := (inside if stack else outside).search(text, k):
+        k, sign = m.end(), m[0]
+        if len(sign) > 1:
+            continue
+        if sign in pair:
+            if stack and stack[-1] == pair[sign]:
                 stack.pop()
                 if not stack:
-                    yield text[start : k + 1]
+                    yield text[start:k]
             else:
                 stack.clear()
-        k += 1
+        elif sign in openers:
+            if not stack:
+                start = m.start()
+            stack.append(sign)
 
 
 def until_unquoted(text: str, delimiter: str, quotes: str = "\"'", escape: str = "\\") -> Iterator[str]:

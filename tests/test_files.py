@@ -155,3 +155,37 @@ def test_empty_document(spark, tmp_path):
         sinks.write_document(df, str(tmp_path / fmt), fmt, "rec_no")
         assert readers.read_table(spark, fmt, str(tmp_path / fmt), one_document=True).count() == 0
     assert schema.header_names(["v", "w"]) == ["v", "w"]
+
+
+def test_balanced_pieces_against_a_plain_loop():
+    """Brackets, quotes inside pieces only, escapes and comments, in random texts."""
+    from quillframe.sources.scanner import balanced
+
+    def plain(text, comment):
+        out, stack, quote, start, k = [], [], "", 0, 0
+        while k < len(text):
+            c = text[k]
+            if quote:
+                k += c == "\\"
+                quote = "" if c == quote else quote
+            elif comment and c == comment:
+                k = text.find("\n", k) if "\n" in text[k:] else len(text)
+            elif c in "\"'" and stack:
+                quote = c
+            elif c in "([{":
+                start = start if stack else k
+                stack.append(c)
+            elif c in ")]}":
+                if stack and stack.pop() == {")": "(", "]": "[", "}": "{"}[c]:
+                    if not stack:
+                        out.append(text[start : k + 1])
+                else:
+                    stack.clear()
+            k += 1
+        return out
+
+    rng = random.Random(6)
+    for _ in range(5000):
+        text = "".join(rng.choice("()[]{}\"'\\#ab\n") for _ in range(rng.randrange(25)))
+        for comment in ("", "#"):
+            assert list(balanced(text, comment=comment)) == plain(text, comment), text
