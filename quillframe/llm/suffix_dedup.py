@@ -41,7 +41,8 @@ from quillframe.llm.merkle import numbered
 
 MATCH, SEED = 100, 32
 SPAN = MATCH - SEED + 1
-PIECE = 4_000_000
+#: Bytes that are looked at together: a task makes some ten arrays of eight bytes for each.
+PIECE = 2_000_000
 #: Bits of the set of repeated anchors: 16 MB, whatever the size of the corpus.
 BITS = 27
 _ORDER = np.uint64(24)
