@@ -111,3 +111,25 @@ def declared_tuples(spark, sf_dir):
     texts = tuples.groupBy("src").agg(F.concat(F.lit(_TUPLE_HEAD), lines, F.lit("\n</Head>\n</Xsv>")).alias("value"))
     errors = F.array_join(F.transform("_errors", lambda e: F.concat_ws(" ", e["code"], e["field"])), ",")
     return readers.parse_table(texts, "xsv").select("src", "rec_no", "id", "cust", "status", "page", "note", errors.alias("errors"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def csv_by_library_names(spark, sf_dir):
+    """Orders as CSV files read by Spark's own reader, with options named as in the common CSV libraries."""
+    path = scratch(spark)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("o_orderpriority"), "o_totalprice")
+    given = {"sep_char": ";", "quote_char": "'", "escape_char": "\\", "undef_str": "none"}
+    orders.write.options(**options.csv_reader_options(**given, always_quote=True)).csv(path)
+    found = spark.read.schema("o_orderkey long, o_orderpriority string, o_totalprice double").options(**options.csv_reader_options(**given, allow_whitespace=True)).csv(path)
+    return found.withColumn("o_orderpriority", F.trim("o_orderpriority"))
+
+
+@query("SELECT doc_id, n_chars FROM documents")
+def members_of_archives(spark, sf_dir):
+    """Documents in compressed JSON files in folders by source, found again below the top folder, opened and parsed."""
+    path = scratch(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
+    docs.repartition(4, "source").write.partitionBy("source").option("compression", "gzip").json(path)
+    members = readers.archive_members(readers.scan_files(spark, path, "*.json.gz"))
+    lines = members.select(F.explode(F.split(F.trim("value"), "\n")).alias("line")).filter("line <> ''")
+    return lines.select(F.from_json("line", "doc_id long, n_chars long").alias("r")).select("r.*")
