@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.codepoints import BASE, chunks, mix, word_hashes
-from quillframe.llm.common import saved, table
+from quillframe.llm.common import FEW_ROWS, saved, table
 from quillframe.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL, TREES, DEPTH, BLOCK = 5, 0.8, 0.9995, 24, 8, 256
@@ -104,7 +104,7 @@ def _profile(depth: int, trees: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for part in chunks([len(t) for t in texts]):
+            for part in chunks([len(t) for t in texts], 400_000):
                 sets = shingle_sets(texts[part])
                 full = [k for k, s in enumerate(sets) if len(s)]
                 places: list[list[bytes]] = [[] for _ in sets]
@@ -229,7 +229,7 @@ def _under_one_prefix(tries: DataFrame, depth: int) -> DataFrame:
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """docs (doc_id, text) to (doc_id, class_id, copy_of, n_links, n_shingles)."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).filter("doc_id is not null")
-    profile = saved(docs.mapInPandas(_profile(depth, trees), "doc_id long, th long, n long, set_a long, set_b long, places array<binary>"))
+    profile = saved(docs.mapInPandas(_profile(depth, trees), "doc_id long, th long, n long, set_a long, set_b long, places array<binary>"), settings=FEW_ROWS)
     reps = profile.filter("n > 0").groupBy("set_a", "set_b").agg(F.min_by(F.struct("places", "n"), F.struct("doc_id", "th")).alias("of"), F.min(F.struct("doc_id", "th")).alias("at"))
     # a class of equal sets is a node with a number of its own
     reps = saved(reps.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", F.col("at.doc_id").alias("rep"), "at.th", "of.places"))
@@ -249,7 +249,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sets = sets.mapInPandas(_sets, "rep long, component long, blocks int, block int, shingles binary")
     with_block = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("bi"), F.greatest(o, F.col("block")).alias("bj")))
     pairs = sets.withColumn("at", F.explode(with_block)).select("component", F.col("at.bi").alias("bi"), F.col("at.bj").alias("bj"), "block", "rep", "shingles")
-    found = saved(pairs.groupBy("component", "bi", "bj").applyInPandas(_verify(threshold), "doc long, other long, links long"))
+    found = saved(pairs.groupBy("component", "bi", "bj").applyInPandas(_verify(threshold), "doc long, other long, links long"), settings=FEW_ROWS)
 
     links = found.filter("links > 0").groupBy(F.col("doc").alias("node")).agg(F.sum("links").alias("n_links"))
     linked = components(found.filter("doc <> other").select(F.col("doc").alias("a"), F.col("other").alias("b")))

@@ -58,3 +58,31 @@ def test_depth_reaches_recall():
     d = J.prefix_depth({4: 10_000}, 0.8, 0.9995, 24, 8)
     assert 1 - (1 - 0.8**d) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 24
     assert d < J.prefix_depth({4: 10, 24: 10_000}, 0.8, 0.9995, 24, 8)
+
+
+def test_few_texts_at_once(spark, tmp_path, monkeypatch):
+    """Python workers get texts by the hundred, not the 10,000 of Spark's default."""
+    seen, real = tmp_path / "seen", J._profile
+
+    def profile(depth, trees):
+        run = real(depth, trees)
+
+        def watched(batches):
+            def each():
+                for batch in batches:
+                    with open(seen, "a") as f:
+                        f.write(f"{len(batch)}\n")
+                    yield batch
+
+            return run(each())
+
+        return watched
+
+    monkeypatch.setattr(J, "_profile", profile)
+    rows = [(k, f"text number {k} of a table in one part with words {k * 7919}") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert J.jaccard_classes(docs).count() == 1500
+    sizes = [int(x) for x in seen.read_text().split()]
+    assert sum(sizes) == 1500 and max(sizes) <= 256, sizes
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
