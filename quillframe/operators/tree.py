@@ -24,6 +24,8 @@ NODE = (
 )
 #: Elements that have no end tag (fixed values).
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+#: Stands for an ampersand that the parser shall pass over: a surrogate on its own, which no text of a table can hold.
+_AMPERSAND = "\udc26"
 
 
 class _Shredder(HTMLParser):
@@ -92,23 +94,28 @@ class _Shredder(HTMLParser):
     def unknown_decl(self, data):
         self._leaf("cdata", "#text", data.removeprefix("CDATA["))
 
-    def nodes(self, text: str) -> list[dict]:
-        self.feed(text)
+    def nodes(self, text: str, references: bool = True) -> list[dict]:
+        self.feed(text if references else text.replace("&", _AMPERSAND))
         self.close()
         while self.open:
             self._close()
+        if not references and "&" in text:
+            put_back = lambda v: v and v.replace(_AMPERSAND, "&")
+            for row in self.rows:
+                row |= {k: put_back(row[k]) for k in ("name", "text", "path", "lang")}
+                row["attrs"] = {put_back(k): put_back(v) for k, v in row["attrs"].items()}
         return self.rows
 
 
-def shred(df: DataFrame, doc_id: str, markup: str) -> DataFrame:
-    """Node table of every document; null markup gives no nodes."""
+def shred(df: DataFrame, doc_id: str, markup: str, references: bool = True) -> DataFrame:
+    """Node table of every document; null markup gives no nodes. Without ``references``, entities and numbers stay in texts and attributes as they are written."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows: list[dict] = []
             for key, text in zip(batch["doc_id"], batch["markup"], strict=True):
                 if isinstance(text, str):
-                    rows += _Shredder(key).nodes(text)
+                    rows += _Shredder(key).nodes(text, references)
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []
@@ -208,6 +215,13 @@ def normalized_texts(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("text", F.when(F.col("kind") == "text", F.trim(F.regexp_replace("text", r"\s+", " "))).otherwise(F.col("text")))
 
 
+def with_references(text: Column, names: dict[str, str]) -> Column:
+    """The named references, each up to its semicolon, by what they stand for; what they give is not read again. Others stay as they are."""
+    for name, value in sorted(names.items(), key=lambda item: item[0] == "amp"):  # last, so that no reference comes of another
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
+    return text
+
+
 def without_elements(nodes: DataFrame, name: str) -> DataFrame:
     """Drops elements of the name with all that is in them."""
     return nodes.filter(~F.array_contains(F.split("path", "/"), name))
