@@ -102,7 +102,7 @@ def unescaped_xml_name(x: Column) -> Column:
 
 
 def compiles(x: Column) -> Column:
-    """Whether the text is a regular expression."""
+    """Whether the text is a regular expression. Only texts with a character that can make one wrong are tried."""
 
     def ok(v: str) -> bool:
         try:
@@ -111,7 +111,8 @@ def compiles(x: Column) -> Column:
             return False
         return True
 
-    return _each(ok, "boolean")(x)
+    tried = _each(ok, "boolean")(F.when(x.rlike(r"[\\\[()*+?{]"), x))
+    return F.when(x.isNotNull(), F.coalesce(tried, F.lit(True)))
 
 
 def indented_xml(x: Column, step: str = "  ") -> Column:
